@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, media, mixing, warc
+from locusframe.llm import bpe, chat, media, mixing, warc
 from locusframe.llm.common import materialise, table
 
 
@@ -32,8 +32,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows.unionByName(own)))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat)}
+    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
