@@ -54,15 +54,15 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED) -> DataFrame:
-    """One row a document: row (all its columns), size, source_size, target, copies, taken.
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED, keep: Sequence[str] | None = None) -> DataFrame:
+    """One row a document: row (all its columns, or those in keep, doc_id and source among them), size, source_size, target, copies, taken.
 
     Null or empty texts have size 0 and null sources are one source. Repeated rows draw alike and
     all stay. Extra columns, whatever their names, stay inside row. Sources are summed before they
     are dealt out, and the join back to documents is by source over one row a source, so a source
     with a third of the rows is broadcast or split by AQE, not gathered.
     """
-    sized = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.struct(*(keep or docs.columns)).alias("row"), word_count(F.col("text")).alias("size"))
     sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sizes, weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -17,7 +17,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id", "source")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
