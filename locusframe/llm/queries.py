@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, chat, media, mixing, warc
-from locusframe.llm.common import materialise, table
+from locusframe.llm import bpe, chat, media, mixing, toxicity, warc
+from locusframe.llm.common import crc_of_id, materialise, table
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows.unionByName(own)))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(crc_of_id(), F.lit(4)) == 2
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held)
+    found = toxicity.score(docs.select("doc_id", "text"), net).select("row.doc_id", "score")
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat, op10_bpe)}
+    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
