@@ -54,7 +54,7 @@ class Network:
     def __post_init__(self) -> None:
         if self.table is None:
             rng = np.random.default_rng(self.seed)
-            self.table = rng.normal(0, 0.1, (SIZE, self.dim)).astype(np.float32)
+            self.table = rng.normal(0, 0.02, (SIZE, self.dim)).astype(np.float32)
             self.kernels = [rng.normal(0, (2 / (w * self.dim)) ** 0.5, (w, self.dim, self.filters)).astype(np.float32) for w in WIDTHS]
             self.shift = np.zeros(len(WIDTHS) * self.filters, np.float32)
             self.out = rng.normal(0, 0.1, len(WIDTHS) * self.filters).astype(np.float32)
@@ -162,7 +162,7 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip(edges[best[width.argmax()]], 0.02, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_per_class: int = 2000, holdout: float = 0.2, epochs: int = 6, seed: int = 7) -> Network:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_per_class: int = 3000, holdout: float = 0.2, epochs: int = 6, seed: int = 7) -> Network:
     """Fit on at most max_per_class labelled rows of each class, those with the smallest id hashes.
 
     labels: doc_id, toxic. usable: which labels may be used. Rows with a null label or id are left out,
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         texts += [ids[first[i] : first[i + 1]] for i in range(hi - lo)]
     held = np.arange(len(rows)) % max(2, round(1 / holdout)) == 0
     kept = np.flatnonzero(~held)
-    net.fit([texts[i] for i in kept], y[kept], epochs=epochs)
+    net.fit([texts[i] for i in kept], y[kept], epochs=max(epochs, min(24, 12_000 // len(kept))))
     odds = y[kept].mean()
     if 0 < odds < 1:
         net.bias += float(np.log(prior / (1 - prior)) - np.log(odds / (1 - odds)))
