@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, chat, media, mixing, toxicity, warc
+from locusframe.llm import bpe, chat, media, minhash, mixing, toxicity, warc
 from locusframe.llm.common import crc_of_id, materialise, table
 
 
@@ -32,6 +32,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows.unionByName(own)))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.pmod(crc_of_id(), F.lit(4)) == 2
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat, op7_minhash, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
