@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, chat, media, minhash, mixing, toxicity, warc
+from locusframe.llm import bpe, chat, media, minhash, mixing, suffix, toxicity, warc
 from locusframe.llm.common import crc_of_id, materialise, table
 
 
@@ -20,6 +20,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id", "source")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.read_media(media.encode_texts(table(spark, sf_dir, "documents")))
     return found.withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
@@ -51,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_media, op6_chat, op7_minhash, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op2_warc, op3_mixing, op4_suffix, op5_media, op6_chat, op7_minhash, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
