@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import bpe, chat, media, minhash, mixing, suffix, toxicity, warc
+from locusframe.llm import ann, bpe, chat, media, minhash, mixing, suffix, toxicity, warc
 from locusframe.llm.common import crc_of_id, materialise, table
 
 
@@ -41,6 +41,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.pmod(crc_of_id(), F.lit(4)) == 2
@@ -56,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op4_suffix, op5_media, op6_chat, op7_minhash, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op2_warc, op3_mixing, op4_suffix, op5_media, op6_chat, op7_minhash, op8_ann, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
