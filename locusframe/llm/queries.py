@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import ann, bpe, chat, media, minhash, mixing, suffix, toxicity, warc
+from locusframe.llm import ann, bpe, chat, lm, media, minhash, mixing, suffix, toxicity, warc
 from locusframe.llm.common import crc_of_id, materialise, table
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.pmod(crc_of_id(), F.lit(7)) == 2).alias("held_out"))
+    found = lm.learn_and_score(docs, "held_out", {"doc_id": "long", "held_out": "boolean"})
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = materialise(warc.write_bundles(warc.mark_revisits(table(spark, sf_dir, "pages"))), "warc")
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -60,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op4_suffix, op5_media, op6_chat, op7_minhash, op8_ann, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_lm, op2_warc, op3_mixing, op4_suffix, op5_media, op6_chat, op7_minhash, op8_ann, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
