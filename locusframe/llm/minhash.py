@@ -4,8 +4,8 @@ Documents with one and the same shingle set form a class. Signatures of classes
 bucket all members are first paired with one hub. A pair's signatures are compared in batches, and it
 is dropped as soon as the posterior probability that its similarity reaches the threshold falls below
 the chosen miss probability. Survivors are verified on their full shingle sets. Then members of a
-bucket that are still in different components are compared with each other, in blocks of bounded
-size, until no pair of a bucket is left that is neither dropped, verified nor within one component.
+bucket that are still in different components are compared with each other in the same way, in blocks
+of bounded size that return only the links which join components.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import LOWER, PrefixHash, map_batches, materialise, mix64, text_chunks, word_spans
+from locusframe.llm.common import LOWER, Bloom, PrefixHash, map_batches, materialise, mix64, text_chunks, word_spans
 from locusframe.llm.graph import components
 from locusframe.shipping import ship
 
@@ -119,7 +119,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """bucket, node: BANDS rows for each class."""
+    """bucket, band, node: BANDS rows for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +130,10 @@ def buckets(classes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 key = mix64(key * _M + marks[:, :, r])
             node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], ["bucket", "node"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), node], ["bucket", "band", "node"])
 
-    return map_batches(classes.select("node", "marks"), run, "bucket long, node binary")
+    return map_batches(classes.select("node", "marks"), run, "bucket long, band int, node binary")
 
 
 def surviving(pairs: DataFrame, classes: DataFrame, least: dict[int, int], threshold: float) -> DataFrame:
@@ -154,12 +155,10 @@ def surviving(pairs: DataFrame, classes: DataFrame, least: dict[int, int], thres
     return map_batches(both, run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b and linked: whether 100 * intersection >= percent * union of the full shingle sets.
-
-    Sets are made again, from whole texts, for one document of each class that occurs in pairs."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and its shingles, made again from the whole text of one document of each class."""
     wanted = nodes.join(classes.select("node", "rep"), "node")
+    bloom = Bloom(wanted.select(F.xxhash64("rep").alias("h")), "h")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +166,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
             good = [set_key(s) == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # another text may have the same id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("node", "text")
-    sets = materialise(map_batches(texts, full, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+    near = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("h", F.xxhash64("rep")).where(bloom.may_have("h"))
+    texts = near.join(wanted, "rep").select("node", "text")
+    return map_batches(texts, full, "node binary, shingles binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,61 +182,88 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
                 x, y = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return map_batches(both, run, "a binary, b binary")
+
 
-    return map_batches(both, run, "a binary, b binary, linked boolean")
+def bridging_links(size: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], label: np.ndarray, minor: np.ndarray, main: bytes, node: np.ndarray, band: np.ndarray, least: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """Links (row, row) that join different labels of one bucket, each verified on full sets.
+
+    Rows with minor meet the others; a pair counts in the first band it shares only, and pairs whose
+    labels a link has joined by then are left out. Sets are numbered first, so that the intersections of one row with
+    many are look-ups in one array."""
+    everything = np.concatenate(sets)
+    _, ids = np.unique(everything, return_inverse=True)
+    ends = np.cumsum([len(s) for s in sets])
+    begins = ends - size
+    seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    right = np.flatnonzero(~minor)
+    bands = marks.reshape(len(marks), BANDS, ROWS)
+    for i in np.flatnonzero(minor):
+        mine = find(label[i])
+        ok = (np.minimum(size[right], size[i]) * 100 >= percent * np.maximum(size[right], size[i])) & (label[right] != label[i])
+        ok &= (label[right] == main) | (node[right] > node[i])  # two minor rows meet once
+        other = right[ok]
+        if root:
+            other = other[np.array([find(x) != mine for x in label[other]], bool)] if len(other) else other
+        if not len(other):
+            continue
+        other = other[matches(np.broadcast_to(marks[i], (len(other), marks.shape[1])), marks[other], least) >= 0]
+        if band[i]:
+            other = other[~(bands[other, : band[i]] == bands[i, : band[i]]).all(2).any(1)]
+        if not len(other):
+            continue
+        seen[ids[begins[i] : ends[i]]] = True
+        sizes = size[other]
+        stop = np.cumsum(sizes)
+        flat = ids[np.arange(stop[-1]) + np.repeat(begins[other] - stop + sizes, sizes)]
+        common = np.add.reduceat(seen[flat].astype(np.int64), stop - sizes)
+        seen[ids[begins[i] : ends[i]]] = False
+        for j in other[100 * common >= percent * (size[i] + sizes - common)]:
+            a, b = find(label[i]), find(label[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, least: dict[int, int], threshold: float, limit: int, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that signatures do not drop, and whether more are left.
+def cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, least: dict[int, int], percent: int, block: int = 2048) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket.
 
     In each bucket the members outside its largest component meet all members, in blocks of about
-    `block` by `block`; hubs have been compared already. For one member and one other component the
-    `limit` most similar pairs are returned, and more is true if there were others."""
-    rest = members.where("node != hub").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    `block` by `block`, and only links that join components come out; hubs have been compared already."""
+    rest = members.where("node != hub").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     by_label = rest.groupBy("bucket", "label").count()
     mixed = (
         by_label.groupBy("bucket")
         .agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("kinds"))
         .where("kinds > 1")
-        .select("bucket", F.col("top.label").alias("main"), "size", F.ceil((F.col("size") - F.col("top.count")) / block).cast("int").alias("minors"), F.ceil(F.col("size") / block).cast("int").alias("alls"))
+        .select("bucket", F.col("top.label").alias("main"), F.ceil((F.col("size") - F.col("top.count")) / block).cast("int").alias("minors"), F.ceil(F.col("size") / block).cast("int").alias("alls"))
     )
-    rows = rest.join(mixed, "bucket").join(classes.select("node", "n_shingles", "marks"), "node")
+    rows = rest.join(mixed, "bucket").join(classes.select("node", "n_shingles", "marks"), "node").join(sets, "node")
     place = F.xxhash64("node")
-    minor = rows.where("label != main").select("bucket", F.pmod(place, F.col("minors")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("minor"), "node", "label", "n_shingles", "marks", "main")
-    every = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.pmod(place, F.col("alls")).cast("int").alias("j"), F.lit(False).alias("minor"), "node", "label", "n_shingles", "marks", "main")
-    schema = "a binary, b binary, more boolean"
+    columns = ["bucket", "i", "j", "minor", "band", "node", "label", "n_shingles", "marks", "shingles", "main"]
+    minor = rows.where("label != main").withColumn("i", F.pmod(place, F.col("minors")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("alls") - 1))).withColumn("minor", F.lit(True))
+    every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).withColumn("j", F.pmod(place, F.col("alls")).cast("int")).withColumn("minor", F.lit(False))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        is_minor = np.array(group["minor"])
         node, label = np.array(group["node"].to_pylist(), object), np.array(group["label"].to_pylist(), object)
-        size, marks = np.array(group["n_shingles"]), _signatures(group["marks"])
-        main = group["main"][0].as_py()
-        left, right = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
-        out_a, out_b, more = [], [], []
-        for i in left:
-            ok = (label[right] != label[i]) & (np.minimum(size[right], size[i]) >= threshold * np.maximum(size[right], size[i]))
-            ok &= (label[right] == main) | (node[right] > node[i])  # two minor members meet once
-            other = right[ok]
-            if not len(other):
-                continue
-            same = matches(np.broadcast_to(marks[i], (len(other), marks.shape[1])), marks[other], least)
-            other, same = other[same >= 0], same[same >= 0]
-            taken: dict[bytes, int] = {}
-            for j in other[np.argsort(-same, kind="stable")]:
-                taken[label[j]] = taken.get(label[j], 0) + 1
-                if taken[label[j]] <= limit:
-                    out_a.append(min(node[i], node[j]))
-                    out_b.append(max(node[i], node[j]))
-                    more.append(False)
-                elif taken[label[j]] == limit + 1:
-                    more[-1] = True
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary()), "more": pa.array(more, pa.bool_())})
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        found = bridging_links(np.array(group["n_shingles"]), _signatures(group["marks"]), sets, label, np.array(group["minor"]), group["main"][0].as_py(), node, np.array(group["band"]), least, percent)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.binary()), "b": pa.array([node[j] for _, j in found], pa.binary())})
 
     ship(members.sparkSession)
-    found = minor.unionByName(every).groupBy("bucket", "i", "j").applyInArrow(compare, schema)
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return minor.select(*columns).unionByName(every.select(*columns)).groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
@@ -255,20 +286,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     members = materialise(buckets(classes).join(hubs, "bucket"), "members")
     pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = materialise(verified(materialise(surviving(pairs, classes, least, threshold), "pairs"), docs, classes, percent), "tested")
-    limit = 8
-    while True:
-        labels = components(tested.where("linked"))
-        found = materialise(cross_pairs(members, classes, labels, least, threshold, limit), "cross")
-        new = materialise(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.limit(1).count():
-            if not found.where("more").limit(1).count():
-                break
-            limit *= 64
-            continue
-        more = verified(new.select("a", "b"), docs, classes, percent)
-        tested = materialise(tested.unionByName(more), "tested")
-        limit *= 8
+    sets = materialise(full_sets(members.select("node").distinct(), docs, classes), "sets")
+    links = materialise(verified(surviving(pairs, classes, least, threshold), sets, percent), "links")
+    labels = components(links)
+    bridges = materialise(cross_links(members, classes, sets, labels, least, percent), "bridges")
+    if bridges.limit(1).count():
+        labels = components(links.unionByName(bridges))
     joined = labels.join(classes.select("node", "rep"), "node")
     lowest = joined.groupBy("label").agg(F.min("rep").alias("low"))
     grouped = classes.where("copies > 1").select("node", "rep").union(joined.select("node", "rep")).distinct()

@@ -17,13 +17,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import PrefixHash, map_batches, materialise, mix64, text_chunks
-from locusframe.shipping import ship
+from locusframe.llm.common import Bloom, PrefixHash, map_batches, materialise, mix64, text_chunks
 
 SIZE = 400
 GRAM = 128
@@ -149,34 +147,6 @@ def repeated(buf: np.ndarray, starts: np.ndarray, segment: np.ndarray, size: int
     return flags
 
 
-class Bloom:
-    """A bit array of fixed size (8 MB at most on the driver and in each worker) over 64-bit keys."""
-
-    BITS = 26
-
-    def __init__(self, keys: DataFrame, column: str) -> None:
-        mask = (1 << self.BITS) - 1
-        places = keys.select(F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, self.BITS).bitwiseAND(mask))).alias("p"))
-        rows = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")).toPandas()
-        words = np.zeros(1 << (self.BITS - 6), np.int64)
-        words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-        self.shared = keys.sparkSession.sparkContext.broadcast(words)
-        ship(keys.sparkSession)
-
-    def may_have(self, column: str) -> Column:
-        shared, bits = self.shared, self.BITS
-
-        @F.pandas_udf("boolean")
-        def test(key: pd.Series) -> pd.Series:
-            words, k = shared.value, key.to_numpy(np.int64).view(np.uint64)
-            out = np.ones(len(k), bool)
-            for p in (k & np.uint64((1 << bits) - 1), (k >> np.uint64(bits)) & np.uint64((1 << bits) - 1)):
-                out &= (words.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            return pd.Series(out)
-
-        return test(F.col(column))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs inside row, the text as bytes, and its two hashes t1 and t2."""
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
