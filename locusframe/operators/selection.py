@@ -33,7 +33,7 @@ def maf_bins(scored: DataFrame, n_bins: int = 100, by: list[str] | None = None)
     edges = edges.withColumn("_edges", last)
     joined = scored.join(F.broadcast(edges), keys, "left") if keys else scored.crossJoin(F.broadcast(edges))
     at = F.size(F.filter("_edges", lambda e: e <= F.col("maf"))) - 1
-    return joined.withColumn("bin_id", F.when(F.col("raw_stat").isNotNull(), at).otherwise(-1)).drop("_edges")
+    return joined.withColumn("bin_id", F.when(F.col("raw_stat").isNotNull(), at).otherwise(-1).cast("long")).drop("_edges")
 
 
 def bin_stats(binned: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -55,9 +55,10 @@ def p_values(scored: DataFrame, tail: str = "upper") -> DataFrame:
     """Adds pval, neg_log10_p (null where pval is 0, so such SNPs are never significant by it) and direction."""
     if tail not in ("upper", "two-sided"):
         raise ValueError(f"tail must be 'upper' or 'two-sided', got {tail!r}")
+    scored = with_workers(scored)
     p = normal_sf(F.col("z_score")) if tail == "upper" else chi2_sf(F.col("chi2_stat"))
     direction = F.when(F.col("z_score").isNull(), "").when(F.col("z_score") >= 0, "excess").otherwise("deficit")
-    out = with_workers(scored).withColumn("pval", p)
+    out = scored.withColumn("pval", p)
     return out.withColumn("neg_log10_p", F.when(F.col("pval") > 0, -F.log10("pval"))).withColumn("direction", direction)
 
 

@@ -187,6 +187,13 @@ def ad_regenotype(records: DataFrame, min_reads: int = 2, min_freq: float = 0.01
     return rows.withColumn("calls", F.when(broken, F.col("calls")).otherwise(F.transform("calls", again)))
 
 
+def _null_misfits(records: DataFrame, field: str, width: Column) -> DataFrame:
+    bad = F.exists("calls", lambda c: _true(F.size(c[field]) != width))
+    out = records.withColumn("_bad", bad).withColumn("modified", F.col("modified") | F.col("_bad"))
+    nulled = F.transform("calls", lambda c: c.withField(field, F.array_repeat(F.lit(None).cast("int"), width)))
+    return out.withColumn("calls", F.when(F.col("_bad"), nulled).otherwise(F.col("calls"))).drop("_bad")
+
+
 def strip_stale(records: DataFrame, fields: tuple[str, ...] = ("pl",), mode: str = "mismatch", ploidy: int = 2) -> DataFrame:
     """Null the fields of records where a sample's length is not that of the record's genotypes, or drop them (always).
 
@@ -198,9 +205,7 @@ def strip_stale(records: DataFrame, fields: tuple[str, ...] = ("pl",), mode: str
     width = {"pl": g.genotype_count(F.size("alts") + 1, ploidy), "ad": F.size("alts") + 1}
     out = records.withColumn("modified", F.lit(False))
     for f in fields:
-        bad = F.exists("calls", lambda c, f=f: _true(F.size(c[f]) != width[f]))
-        out = out.withColumn("_bad", bad).withColumn("modified", F.col("modified") | F.col("_bad"))
-        out = out.withColumn("calls", F.when(F.col("_bad"), F.transform("calls", lambda c, f=f: c.withField(f, F.array_repeat(F.lit(None).cast("int"), width[f])))).otherwise(F.col("calls"))).drop("_bad")
+        out = _null_misfits(out, f, width[f])
     return out
 
 
