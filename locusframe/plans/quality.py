@@ -1,4 +1,151 @@
-"""Queries to come."""
+"""Queries of callset QC and linkage disequilibrium, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusframe.operators import ld, qc
+from locusframe.plans.adapters import ctes, view
+from locusframe.plans.diversity import GT, depth_cells
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = depth_cells(spark, sf_dir)
+    return cells.select(
+        "site", "sample", F.substring("sample", 2, 9).cast("int").alias("sample_ix"), F.coalesce(F.get("gt", 1) > 0, F.lit(False)).alias("alt"), F.get("gt", 0).isNull().alias("missing"),
+        (F.col("d0") + F.col("d1") + F.col("d2")).alias("depth"),
+    )
+
+
+def singleton_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = qc.singleton_counts(_cells(spark, sf_dir), max_missing_frac=0.5, min_depth=30)
+    return out.withColumns({c: F.round(c, 6) for c in ("singleton_rate", "frac_doubletons_with_partner")})
+
+
+def singleton_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = qc.flag_outliers(qc.singleton_counts(_cells(spark, sf_dir), max_missing_frac=0.5, min_depth=30), mad_cutoff=1.5, duplicate_frac=0.3)
+    return out.select("sample", F.round("mad_score", 6).alias("mad_score"), "outlier", "flag")
+
+
+def strand_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = qc.strand_bias(view(spark, sf_dir, "v_strand"))
+    return out.select("site", "sample", *[F.round(c, 6).alias(c) for c in ("vaf_fwd", "vaf_rev", "vaf", "ratio")], (F.round("sb_phred", 4) + 0.0).alias("sb_phred"), "drop")
+
+
+def strand_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.strand_blacklist(qc.strand_bias(view(spark, sf_dir, "v_strand")), min_drop_samples=2)
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the genome alphabet made from order keys."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    seq = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 32), "0123456789abcdef", "ACGTGGCCATGCGCGA")
+    return rows.select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 100).alias("start"), seq.alias("seq"))
+
+
+def homopolymers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.homopolymers(_sequences(spark, sf_dir))
+
+
+def trigger_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.motifs(_sequences(spark, sf_dir))
+
+
+def gc_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.gc_islands(_sequences(spark, sf_dir)).withColumn("gc", F.round("gc", 6))
+
+
+def _dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = depth_cells(spark, sf_dir).where("site % 14 < 3")
+    return cells.select("grp", "chrom", "pos0", "sample", ld.dosage(F.col("gt"), het="dosage").alias("d"))
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.site_maf(ld.pack(_dosages(spark, sf_dir))).where(F.col("maf") >= 0.05)
+
+
+def ld_site_maf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.site_maf(ld.pack(_dosages(spark, sf_dir))).select("grp", "chrom", "pos0", F.round("maf", 6).alias("maf"))
+
+
+def ld_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.pairs(_sites(spark, sf_dir)).withColumn("r2", F.round("r2", 6))
+
+
+def ld_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.ld_decay(_dosages(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean_r2", "median_r2")})
+
+
+def ld_half_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.half_decay(ld.ld_decay(_dosages(spark, sf_dir), bins=5)).withColumn("half_decay_bp", F.round("half_decay_bp", 3))
+
+
+def ld_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.thin(_sites(spark, sf_dir), max_snps=20).select("grp", "chrom", "pos0")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (singleton_counts, singleton_flags, strand_bias, strand_blacklist, homopolymers, trigger_motifs, gc_islands, ld_site_maf, ld_pairs, ld_decay, ld_half_decay, ld_thinning)
+}
+
+_SINGLE = f"""{ctes("v_ad")}, {GT}, c0 AS (
+  SELECT site, sample, CAST(substr(sample, 2) AS INT) AS ix, coalesce(a1 > 0, false) AS alt, a0 IS NULL OR dp < 30 AS miss FROM v_gt
+), ok AS (SELECT site FROM c0 GROUP BY site HAVING avg(miss::INT) <= 0.5), c AS (SELECT c0.* FROM c0 JOIN ok USING (site)),
+who AS (SELECT site, list_sort(list(struct_pack(ix := ix, s := sample)) FILTER (alt AND NOT miss)) AS w FROM c GROUP BY site),
+called AS (SELECT sample, count(*) FILTER (NOT miss) AS n_called FROM c GROUP BY sample),
+si AS (SELECT w[1].s AS sample, count(*) AS n_singleton FROM who WHERE len(w) = 1 GROUP BY 1),
+pr AS (SELECT w[1].s AS a, w[2].s AS b, count(*) AS c, min(site) AS seen FROM who WHERE len(w) = 2 GROUP BY 1, 2),
+sd AS (SELECT a AS sample, b AS partner, c, seen FROM pr UNION ALL SELECT b, a, c, seen FROM pr),
+db AS (SELECT sample, CAST(sum(c) AS BIGINT) AS n_doubleton FROM sd GROUP BY 1),
+bs AS (SELECT sample, partner, c FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY c DESC, seen, partner) AS rn FROM sd) WHERE rn = 1),
+res AS (
+  SELECT sample, n_called, coalesce(n_singleton, 0) AS n_singleton, coalesce(coalesce(n_singleton, 0) * 1000.0 / nullif(n_called, 0)::DOUBLE, 0) AS rate, coalesce(n_doubleton, 0) AS n_doubleton, coalesce(partner, '') AS top_partner,
+    coalesce(c, 0) AS shared, coalesce(c::DOUBLE / n_doubleton, 0) AS frac FROM called LEFT JOIN si USING (sample) LEFT JOIN db USING (sample) LEFT JOIN bs USING (sample)
+)"""
+_STRAND = f"""{ctes("v_strand")}, st AS (
+  SELECT *, (alt_fwd + alt_rev)::DOUBLE / (ref_fwd + alt_fwd + ref_rev + alt_rev) AS vaf, coalesce(alt_fwd::DOUBLE / nullif(ref_fwd + alt_fwd, 0), 0) AS vf, coalesce(alt_rev::DOUBLE / nullif(ref_rev + alt_rev, 0), 0) AS vr,
+    ref_fwd + alt_fwd AS r1, ref_rev + alt_rev AS r2, ref_fwd + ref_rev AS c1, alt_fwd + alt_rev AS c2, ref_fwd + alt_fwd + ref_rev + alt_rev AS n FROM v_strand WHERE alt_fwd + alt_rev > 0
+), cand AS (SELECT * FROM st WHERE vaf >= 0.05::DOUBLE),
+ks AS (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS k FROM cand),
+lp AS (SELECT *, lgamma(r1 + 1) - lgamma(k + 1) - lgamma(r1 - k + 1) + lgamma(r2 + 1) - lgamma(c1 - k + 1) - lgamma(r2 - c1 + k + 1) - (lgamma(n + 1) - lgamma(c1 + 1) - lgamma(n - c1 + 1)) AS l FROM ks),
+ob AS (SELECT site, sample, exp(l) AS po FROM lp WHERE k = ref_fwd),
+fp AS (SELECT site, sample, CASE WHEN any_value(least(r1, r2, c1, c2)) = 0 THEN 1.0 ELSE least(1.0, sum(exp(l)) FILTER (exp(l) <= po * (1 + 1e-7::DOUBLE))) END AS p FROM lp JOIN ob USING (site, sample) GROUP BY site, sample),
+vd AS (SELECT *, coalesce(least(vf, vr) / nullif(greatest(vf, vr), 0), 1.0) AS ratio, -10 * log10(greatest(p, 1e-300::DOUBLE)) AS phred, CASE WHEN vf <= vr THEN r1 ELSE r2 END AS minor FROM cand JOIN fp USING (site, sample)),
+ve AS (SELECT *, (ratio < 0.15::DOUBLE AND minor >= 20) OR phred > 60 AS dropped FROM vd)"""
+_SEQ = "WITH sq AS (SELECT p_partkey AS name, p_partkey * 100 AS start, translate(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 32), '0123456789abcdef', 'ACGTGGCCATGCGCGA') AS seq FROM part)"
+_LD = f"""{ctes("v_ad")}, {GT}, ds AS (
+  SELECT grp, chrom, pos0, sample, CASE WHEN a0 IS NULL THEN NULL WHEN a1 = 0 THEN 0 WHEN a0 > 0 THEN 2 ELSE 1 END AS d FROM v_gt WHERE site % 14 < 3
+), sm AS (SELECT grp, chrom, pos0, least(sum(d) / nullif(2.0 * count(d), 0)::DOUBLE, 1 - sum(d) / nullif(2.0 * count(d), 0)::DOUBLE) AS maf FROM ds GROUP BY ALL),
+gd AS (SELECT ds.* FROM ds JOIN sm USING (grp, chrom, pos0) WHERE maf >= 0.05::DOUBLE AND d IS NOT NULL),
+st AS (SELECT a.grp, a.chrom, a.pos0 AS pos_a, b.pos0 AS pos_b, count(*) AS n, sum(a.d) AS sx, sum(b.d) AS sy, sum(a.d * a.d) AS sxx, sum(b.d * b.d) AS syy, sum(a.d * b.d) AS sxy
+  FROM gd a JOIN gd b ON a.grp = b.grp AND a.chrom = b.chrom AND a.sample = b.sample AND b.pos0 > a.pos0 AND b.pos0 - a.pos0 <= 50000 GROUP BY ALL),
+pr AS (SELECT grp, chrom, pos_a, pos_b, pos_b - pos_a AS dist, (n * sxy - sx * sy)::DOUBLE * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0)::DOUBLE AS r2 FROM st),
+ok AS (SELECT * FROM pr WHERE r2 IS NOT NULL), gr AS (SELECT grp FROM ds GROUP BY grp HAVING count(DISTINCT sample) >= 4)"""
+
+
+def _decay(bins: int) -> str:
+    width = 50_000 / bins
+    return f"""(SELECT grp, b * {width}::DOUBLE AS bin_start, (b + 1) * {width}::DOUBLE AS bin_end, (b + 0.5::DOUBLE) * {width}::DOUBLE AS bin_mid, coalesce(n, 0) AS n_pairs, mean_r2, median_r2 FROM gr CROSS JOIN (SELECT unnest(range({bins})) AS b)
+  LEFT JOIN (SELECT grp, CAST(floor(dist / {width}::DOUBLE) AS BIGINT) AS b, count(*) AS n, avg(r2) AS mean_r2, median(r2) AS median_r2 FROM ok WHERE dist < 50000 GROUP BY 1, 2) USING (grp, b))"""
+
+
+ORACLES = {
+    "singleton_counts": f"{_SINGLE} SELECT sample, n_called, n_singleton, round(rate, 6) AS singleton_rate, n_doubleton, top_partner, shared AS n_shared_with_partner, round(frac, 6) AS frac_doubletons_with_partner FROM res",
+    "singleton_flags": f"""{_SINGLE}, md AS (SELECT median(rate) AS m FROM res), ad AS (SELECT median(abs(rate - m)) * 1.4826::DOUBLE AS s FROM res, md), sc AS (SELECT res.*, CASE WHEN s = 0 THEN 0 ELSE (rate - m) / s END AS z FROM res, md, ad)
+SELECT sample, round(z, 6) AS mad_score, abs(z) > 1.5 AS outlier, concat_ws('; ', CASE WHEN z > 1.5 THEN 'excess private variants' WHEN z < -1.5 THEN 'few private variants' END, CASE WHEN frac >= 0.3::DOUBLE AND top_partner <> '' THEN concat('near-identical to ', top_partner) END) AS flag FROM sc""",
+    "strand_bias": f"{_STRAND} SELECT site, sample, round(vf, 6) AS vaf_fwd, round(vr, 6) AS vaf_rev, round(vaf, 6) AS vaf, round(ratio, 6) AS ratio, round(phred, 4) + 0.0::DOUBLE AS sb_phred, dropped AS \"drop\" FROM ve",
+    "strand_blacklist": f"{_STRAND} SELECT chrom, pos0 AS start, pos0 + 1 AS \"end\", count(DISTINCT sample) AS n FROM ve WHERE dropped GROUP BY chrom, pos0 HAVING count(DISTINCT sample) >= 2",
+    "homopolymers": f"""{_SEQ}, ch AS (SELECT name, start, i, substr(seq, i + 1, 1) AS b FROM sq, (SELECT unnest(range(32)) AS i)), isl AS (SELECT *, i - row_number() OVER (PARTITION BY name, b ORDER BY i) AS k FROM ch)
+SELECT name, any_value(start) + min(i) AS start, any_value(start) + min(i) + count(*) AS "end", repeat(b, count(*)) AS trigger FROM isl WHERE b IN ('G', 'C') GROUP BY name, b, k HAVING count(*) >= 3""",
+    "trigger_motifs": f"{_SEQ} SELECT name, start + i AS start, start + i + 3 AS \"end\", substr(seq, i + 1, 3) AS trigger FROM sq, (SELECT unnest(range(30)) AS i) WHERE substr(seq, i + 1, 3) IN ('GGC', 'GCC')",
+    "gc_islands": f"{_SEQ}, w AS (SELECT name, start, i, length(regexp_replace(substr(seq, i + 1, 20), '[^GC]', '', 'g')) / 20.0::DOUBLE AS gc FROM sq, (SELECT unnest(range(13)) AS i)) SELECT name, start + i AS start, start + i + 20 AS \"end\", round(gc, 6) AS gc FROM w WHERE gc > 0.35::DOUBLE",
+    "ld_site_maf": f"{_LD} SELECT grp, chrom, pos0, round(maf, 6) AS maf FROM sm",
+    "ld_pairs": f"{_LD} SELECT grp, chrom, pos_a, pos_b, dist, round(r2, 6) AS r2 FROM ok",
+    "ld_decay": f"{_LD} SELECT grp, bin_start, bin_end, bin_mid, n_pairs, round(mean_r2, 6) AS mean_r2, round(median_r2, 6) AS median_r2 FROM {_decay(20)}",
+    "ld_half_decay": f"""{_LD}, dc AS {_decay(5)}, sn AS (SELECT *, first_value(mean_r2) OVER w / 2 AS half, lag(mean_r2) OVER w AS r, lag(bin_mid) OVER w AS m FROM dc WHERE mean_r2 IS NOT NULL WINDOW w AS (PARTITION BY grp ORDER BY bin_mid)),
+hit AS (SELECT grp, arg_min(m + (r - half) / nullif(r - mean_r2, 0) * (bin_mid - m), bin_mid) AS h FROM sn WHERE r IS NOT NULL AND mean_r2 <= half GROUP BY grp) SELECT grp, round(h, 3) AS half_decay_bp FROM gr LEFT JOIN hit USING (grp)""",
+    "ld_thinning": f"""{_LD}, rk AS (SELECT *, row_number() OVER (PARTITION BY grp, chrom ORDER BY pos0) - 1 AS i, count(*) OVER (PARTITION BY grp, chrom) AS n FROM sm WHERE maf >= 0.05::DOUBLE)
+SELECT DISTINCT grp, chrom, pos0 FROM rk WHERE n <= 20 OR i IN (SELECT CAST(round_even(k * ((n - 1) / 19.0::DOUBLE), 0) AS BIGINT) FROM (SELECT unnest(range(20)) AS k))""",
+}
