@@ -51,7 +51,7 @@ def depth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dropout_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = coverage.dropout_windows(view(spark, sf_dir, "v_windows"), min_depth=40, min_frac_samples=0.5)
-    return out.withColumns({c: F.round(c, 5) for c in ("frac_samples_uncovered", "median_depth_across_samples", "mean_depth_across_samples")})
+    return out.withColumns({c: F.round(c, 8) for c in ("frac_samples_uncovered", "median_depth_across_samples", "mean_depth_across_samples")})
 
 
 def dropout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ SELECT sample, chrom, CAST(sum(bases) AS BIGINT) AS bases, round(sum(depth * bas
     + ", 'runs' AS engine FROM cm GROUP BY sample, chrom",
     "depth_windows": f"""{_FULL}, ct AS (SELECT sample, chrom, depth, start, fin, unnest(range(start // 1000, (fin - 1) // 1000 + 1)) AS w FROM rs), sm AS (SELECT sample, chrom, w, sum(least(fin, (w + 1) * 1000) - greatest(start, w * 1000)) AS b, sum(depth * (least(fin, (w + 1) * 1000) - greatest(start, w * 1000))) AS s FROM ct GROUP BY ALL)
 SELECT sample, chrom, w * 1000 AS start, least((w + 1) * 1000, length) AS "end", CAST(b AS BIGINT) AS bases, round(s::DOUBLE / b, 6) AS mean_depth FROM sm JOIN ln USING (chrom)""",
-    "dropout_windows": f"{ctes('v_windows')}, {_DROP} SELECT chrom, start, fin AS \"end\", n_samples, round(f, 5) AS frac_samples_uncovered, round(md, 5) AS median_depth_across_samples, round(mn, 5) AS mean_depth_across_samples FROM pw WHERE f >= 0.5",
+    "dropout_windows": f"{ctes('v_windows')}, {_DROP} SELECT chrom, start, fin AS \"end\", n_samples, round(f, 8) AS frac_samples_uncovered, round(md, 8) AS median_depth_across_samples, round(mn, 8) AS mean_depth_across_samples FROM pw WHERE f >= 0.5",
     "dropout_regions": f"""{ctes("v_windows")}, {_DROP}, fl AS (SELECT *, CASE WHEN start - max(fin) OVER (PARTITION BY chrom ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1000 THEN 0 ELSE 1 END AS fresh FROM pw WHERE f >= 0.4),
 il AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, fin ROWS UNBOUNDED PRECEDING) AS g FROM fl)
 SELECT chrom, min(start) AS start, max(fin) AS "end", max(fin) - min(start) AS length, count(*) AS n_windows, max(n_samples) AS n_samples, round(avg(f), 5) AS frac_samples_uncovered, round(median(md), 5) AS median_depth_across_samples, round(avg(mn), 5) AS mean_depth_across_samples FROM il GROUP BY chrom, g""",
