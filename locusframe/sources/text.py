@@ -209,13 +209,14 @@ def sample_list(text: str, spark: SparkSession | None = None) -> list[str]:
 
 
 def write_tsv(df: DataFrame, path: str, comment: str | None = None, overwrite: bool = False) -> None:
-    """Tab-separated part files with a header, gzip if the path ends in .gz; a comment becomes a line before it."""
+    """One tab-separated file with a header, for reports; gzip if the path ends in .gz. A comment becomes a line before it."""
     gz = {"compression": "gzip"} if path.endswith(".gz") else {}
     mode = "overwrite" if overwrite else "errorifexists"
     columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
     rows = df.select(F.concat_ws("\t", *columns).alias("value"))
     head = [*([comment if comment.startswith("#") else f"#{comment}"] if comment else []), "\t".join(df.columns)]
-    df.sparkSession.createDataFrame([("\n".join(head),)], "value string").union(rows).coalesce(1).write.mode(mode).options(**gz).text(path)
+    top = df.sparkSession.createDataFrame([(0, "\n".join(head))], "o int, value string")
+    top.union(rows.select(F.lit(1), "value")).coalesce(1).sortWithinPartitions("o").select("value").write.mode(mode).options(**gz).text(path)
 
 
 def write_stamped(df: DataFrame, path: str, overwrite: bool = False) -> None:
