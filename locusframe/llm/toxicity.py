@@ -76,7 +76,7 @@ class Network:
         return np.concatenate(flat, 1)
 
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probabilities for many texts at once; between texts stand zero vectors, so no window sees two."""
+        """Probabilities for many texts at once, 0 for a text without words; between texts stand zero vectors, so no window sees two."""
         n, gap = len(first) - 1, max(WIDTHS) - 1
         size = np.diff(first)
         pooled = np.zeros((n, len(self.out)), np.float32)
@@ -89,7 +89,8 @@ class Network:
             tail = cuts[-1] == len(x)
             tops = np.maximum.reduceat(self.maps(x), cuts[:-1] if tail else cuts, axis=0)[::2]
             pooled[full] = np.maximum(tops + self.shift, 0)
-        return 1 / (1 + np.exp(-(pooled @ self.out.astype(np.float64) + self.bias)))
+        found = 1 / (1 + np.exp(-(pooled @ self.out.astype(np.float64) + self.bias)))
+        return np.where(size > 0, found, 0.0)
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.05) -> None:
         """AdaGrad on the log loss, a text at a time in mini-batches; gradients flow through the pooled maxima only."""
@@ -211,7 +212,7 @@ _nets: dict[str, Network] = {}
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of docs inside row, and score; null and empty texts are scored as texts without words."""
+    """All columns of docs inside row, and score; null and empty texts, and those without words, score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(net.dump())  # a few MB whatever the input
     key = str(shared.id) if hasattr(shared, "id") else str(id(shared))
     source = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text"))

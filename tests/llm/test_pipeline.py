@@ -1,0 +1,51 @@
+"""The corpus pipeline stage by stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from locusframe.llm import minhash, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("x"))
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stage(spark, out[-1], SF).cache())
+    return out
+
+
+def test_columns_and_order(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_array_dedup", "mixing", "bpe"]
+    assert all(df.columns == stages[0].columns for df in stages[1:-1])
+
+
+def test_near_duplicate_stage(spark, stages):
+    want = {r["doc_id"] for r in minhash.near_duplicates(stages[1]).where("kept").collect()}
+    assert {r["doc_id"] for r in stages[2].select("doc_id").collect()} == want
+    again = stages[1].unionByName(stages[1].limit(5))
+    assert corpus_pipeline.drop_near_duplicates(spark, again, SF).count() == len(want)
+
+
+def test_suffix_stage_keeps_all_documents(stages):
+    assert stages[3].count() == stages[2].count()
+    assert stages[3].where("n_chars <> length(text)").count() == 0
+
+
+def test_mixing_and_tokens(stages):
+    assert stages[5].count() == stages[4].count()
+    assert stages[4].groupBy("doc_id").count().where("count > 2").count() == 0
+
+
+def test_empty_documents(spark, stages):
+    docs = stages[0].limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
+def test_queries_are_named():
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
