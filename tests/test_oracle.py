@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from locusframe.plans import registry
@@ -21,7 +22,7 @@ def duck():
 
 
 def canonical(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return ""
     return f"{value + 0.0:.9g}" if isinstance(value, float) else str(value)
 
