@@ -119,3 +119,44 @@ def test_bam_depth_and_pileup(spark, tmp_path):
     assert (rev["base"], rev["seq_cycle"], rev["sc_3p"], rev["sc_5p"], rev["bq"]) == ("C", 74, 5, 0, 10)
     summary = bam.summarise_reads(seen, "C", "A").first()
     assert (summary["alt_rev"], summary["ref_fwd"], summary["vaf_rev_pct"]) == (1, 10, 100.0)
+
+
+def typed(kind, values):
+    code = {1: "b", 2: "h", 3: "i", 5: "f"}.get(kind)
+    if kind == 7:
+        data, n = values.encode(), len(values)
+    else:
+        data, n = struct.pack(f"<{len(values)}{code}", *values), len(values)
+    head = bytes([(n << 4) | kind]) if n < 15 else bytes([0xF0 | kind]) + typed(1, [n])
+    return head + data
+
+
+def test_bcf(spark, tmp_path):
+    from locusframe.sources import bcf
+
+    head = '##fileformat=VCFv4.2\n##FILTER=<ID=PASS,Description="x">\n##INFO=<ID=QD,Number=1,Type=Float>\n##FORMAT=<ID=GT,Number=1>\n##FORMAT=<ID=AD,Number=R>\n##contig=<ID=c1>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty\n'
+    shared = struct.pack("<iiifII", 0, 9, 1, 0.0, 2 << 16 | 1, 2 << 24 | 2) + typed(7, "rs1") + typed(7, "A") + typed(7, "T") + typed(1, [0]) + typed(1, [1]) + typed(5, [30.0])
+    own = typed(1, [2]) + bytes([0x21]) + struct.pack("<4b", 2, 5, 0, -127) + typed(1, [3]) + bytes([0x22]) + struct.pack("<4h", 500, 7, -32768, -32767)
+    text_ = head.encode() + b"\0"
+    path = tmp_path / "x.bcf"
+    path.write_bytes(gzip.compress(b"BCF\2\2" + struct.pack("<I", len(text_)) + text_ + struct.pack("<II", len(shared), len(own)) + shared + own))
+    row = bcf.read_bcf(spark, str(path)).first()
+    assert (row["chrom"], row["pos0"], row["source_id"], row["ref"], row["alts"], row["filters"], row["qd"]) == ("c1", 9, "rs1", "A", ["T"], ["PASS"], 30.0)
+    x, y = row["calls"]
+    assert (x["gt"], x["phased"], x["ad"], y["gt"], y["ad"]) == ([0, 1], True, [500, 7], [None], None)
+    assert [c["sample"] for c in bcf.read_bcf(spark, str(path), samples=["y"]).first()["calls"]] == ["y"]
+
+
+def test_reads(spark, tmp_path):
+    from locusframe.sources import reads
+
+    path = tmp_path / "r.fa"
+    path.write_text(">c1 first\nACGT\nacgt\n>c2\nGGG\n")
+    fasta = reads.read_fasta(spark, str(path))
+    assert reads.fetch(fasta, "c1", 2, 6) == "GTAC" and reads.fetch(fasta, "c2", -5, 99) == "GGG"
+    rows = spark.createDataFrame([("s", "r1", "rev", "C", "ACG", [40, 2, 93]), ("s", "r2", "rev", "A", "A", [1]), ("s", "r3", "fwd", "C", "A", [1])], "sample string, read string, strand string, base string, seq string, qual array<int>")
+    assert [r["read"] for r in reads.alt_reads(rows, "C").collect()] == ["r1"]
+    assert reads.fastq_lines(reads.alt_reads(rows, "C")).first()["value"] == "@r1\nACG\n+\nI#~"
+    assert reads.alt_reads(rows, "C", include_ref=1, ref="A").count() == 2
+    assert rows.select(reads.reverse_complement(F.col("seq")).alias("x")).first()["x"] == "CGT"
+    assert "sample s" in reads.site_report(spark.createDataFrame([("s", 1.5)], "sample string, bq_median double"), [1, 2, 2, 30])
