@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.shipping import ship
-from locusframe.tables import materialise, shared_dir
-
-__all__ = ["materialise", "shared_dir"]
+from locusframe.tables import materialise as materialise
 
 #: ASCII white space that ends a word: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
