@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_mixing": mixing.ORACLE, "op6_chat": chat.ORACLE}

@@ -208,3 +208,15 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return map_batches(bundles.select("archive", "records"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base32 in SQL: five hex digits are four characters of five bits.
+_BASE32 = " || ".join(f"substr('{_ALPHABET}', CAST((('0x' || substr(hex40, {1 + 5 * chunk}, 5))::BIGINT >> {shift}) & 31 AS BIGINT) + 1, 1)" for chunk in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex40, max(page_id) OVER (PARTITION BY payload) AS holder FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM holder THEN NULL ELSE holder END AS refers_to FROM d
+"""
