@@ -56,7 +56,7 @@ def dropout_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dropout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = coverage.dropout_regions(view(spark, sf_dir, "v_windows"), min_depth=40, min_frac_samples=0.4, merge_gap=1000)
-    return out.withColumns({c: F.round(c, 5) for c in ("frac_samples_uncovered", "median_depth_across_samples", "mean_depth_across_samples")})
+    return out.withColumns({c: F.round(c, 8) for c in ("frac_samples_uncovered", "median_depth_across_samples", "mean_depth_across_samples")})
 
 
 QUERIES = {f.__name__: f for f in (depth_runs, depth_hist, depth_hist_regions, depth_summary, depth_windows, dropout_windows, dropout_regions)}
@@ -88,5 +88,5 @@ SELECT sample, chrom, w * 1000 AS start, least((w + 1) * 1000, length) AS "end",
     "dropout_windows": f"{ctes('v_windows')}, {_DROP} SELECT chrom, start, fin AS \"end\", n_samples, round(f, 8) AS frac_samples_uncovered, round(md, 8) AS median_depth_across_samples, round(mn, 8) AS mean_depth_across_samples FROM pw WHERE f >= 0.5",
     "dropout_regions": f"""{ctes("v_windows")}, {_DROP}, fl AS (SELECT *, CASE WHEN start - max(fin) OVER (PARTITION BY chrom ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1000 THEN 0 ELSE 1 END AS fresh FROM pw WHERE f >= 0.4),
 il AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start, fin ROWS UNBOUNDED PRECEDING) AS g FROM fl)
-SELECT chrom, min(start) AS start, max(fin) AS "end", max(fin) - min(start) AS length, count(*) AS n_windows, max(n_samples) AS n_samples, round(avg(f), 5) AS frac_samples_uncovered, round(median(md), 5) AS median_depth_across_samples, round(avg(mn), 5) AS mean_depth_across_samples FROM il GROUP BY chrom, g""",
+SELECT chrom, min(start) AS start, max(fin) AS "end", max(fin) - min(start) AS length, count(*) AS n_windows, max(n_samples) AS n_samples, round(avg(f), 8) AS frac_samples_uncovered, round(median(md), 8) AS median_depth_across_samples, round(avg(mn), 8) AS mean_depth_across_samples FROM il GROUP BY chrom, g""",
 }
