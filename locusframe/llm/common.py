@@ -27,9 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one Arrow batch at most: batches of texts or sets stay small in the JVM and in the workers.
+BATCH_ROWS = 1024
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
+    if not 0 < int(df.sparkSession.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 

@@ -282,8 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks")),
         "classes",
     )
-    # written first, so that the join below reads plain exchanges and a bucket with very many members can be split
-    hubs = materialise(buckets(classes).groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "hubs")
+    hubs = buckets(classes).groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     members = materialise(buckets(classes).join(hubs, "bucket"), "members")
     pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     sets = materialise(full_sets(members.select("node").distinct(), docs, classes), "sets")
