@@ -1,30 +1,3 @@
 """Connected components of links kept in tables."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from locusframe.llm.common import materialise
-
-
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, label for every end of links (a, b): label is the smallest node that can be reached.
-
-    Each round takes the smallest label among a node's neighbours and then the label of that label,
-    so paths shrink by half or more. Tables of nodes and links stay in the shared folder; only the
-    number of changed labels reaches the driver. Links may repeat, point either way or to themselves.
-    """
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").where("a != b").distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = materialise(step.join(jump, step["low"] == jump["via"]).select("node", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+from locusframe.graph import components as components

@@ -332,6 +332,31 @@ def test_components_of_a_chain(spark):
     assert all(labels[i] == 0 for i in range(301)) and labels[501] == 500
 
 
+@pytest.mark.parametrize("count,hashed", [(300, False), (300, True), (1000, True), (3000, False), (3000, True)])
+def test_components_of_chains_in_random_order(spark, count, hashed):
+    ids = random.Random(count).sample(range(10 * count), count)
+    if hashed:
+        ids = [bytearray(hashlib.blake2b(i.to_bytes(8, "big"), digest_size=16).digest()) for i in ids]
+    cut = count // 3
+    links = [(ids[i], ids[i + 1]) for i in range(count - 1) if i != cut]
+    out = graph.components(spark.createDataFrame(links, "a binary, b binary" if hashed else "a long, b long")).collect()
+    plain = bytes if hashed else int
+    left, right = [{plain(i) for i in part} for part in (ids[: cut + 1], ids[cut + 1 :])]
+    assert len(out) == count
+    assert {plain(r["node"]): plain(r["label"]) for r in out} == {i: min(part) for part in (left, right) for i in part}
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(899 - i % 2, i) for i in range(100, 140)]
+    want = {i: i for link in links for i in link if link[0] != link[1]}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want.get(a, a), want.get(b, b))
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: c for n, c in want.items() if n in got} and len(got) == len({i for a, b in links for i in (a, b) if a != b})
+
+
 def test_sequential_bounds_keep_similar_pairs():
     least = minhash.least_matches(0.75, 1e-5)
     assert all(m / n < 0.75 for n, m in least.items()) and least[128] > 64
