@@ -48,11 +48,12 @@ def rotate(x: np.ndarray, table: int, part: int = 0) -> np.ndarray:
     return out
 
 
-def axes(x: np.ndarray, table: int, probes: int, second: int) -> np.ndarray:
-    """(rows, probes or fewer) bucket codes, nearest first.
+def axes(x: np.ndarray, table: int, probes: int, second: int, every: bool) -> np.ndarray:
+    """Bucket codes of the probes (or fewer) nearest axes of each row, nearest first.
 
     With second > 0 a bucket is a pair: the signed axis of one rotation, and of another cut to its
-    first `second` coordinates; a pair is as near as its two coordinates are large together."""
+    first `second` coordinates, its side. A row has the nearest side of each axis, or with every all of
+    them: a probed axis is then seen whole, into however many sides its vectors are split."""
     y = rotate(x, table)
     near = np.concatenate([y, -y], 1)
     if not second:
@@ -61,10 +62,8 @@ def axes(x: np.ndarray, table: int, probes: int, second: int) -> np.ndarray:
     z = rotate(x, table, 1)[:, :second]
     side = np.concatenate([z, -z], 1)
     first = np.argsort(-near, axis=1, kind="stable")[:, : max(probes, 1)]
-    both = np.take_along_axis(near, first, 1)[:, :, None] + side[:, None, :]
-    code = first[:, :, None] * (2 * second) + np.arange(2 * second)
-    top = np.argsort(-both.reshape(len(x), -1), axis=1, kind="stable")[:, : probes * 4]
-    return np.take_along_axis(code.reshape(len(x), -1), top, 1)
+    sides = np.arange(side.shape[1])[None, :] if every else side.argmax(1)[:, None]
+    return (first[:, :, None] * (2 * second) + sides[:, None, :]).reshape(len(x), -1)
 
 
 def usable(vector: Column) -> Column:
@@ -85,7 +84,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spread(rows: DataFrame, carried: dict[str, str], tables: int, probes: int, second: int) -> DataFrame:
+def _spread(rows: DataFrame, carried: dict[str, str], tables: int, probes: int, second: int, every: bool) -> DataFrame:
     """Rows (dim, vector and what is carried) once for each table and probe, with their bucket."""
     names = [*carried]
 
@@ -98,10 +97,13 @@ def _spread(rows: DataFrame, carried: dict[str, str], tables: int, probes: int,
                         piece = part.slice(lo, 512)
                         unit = _unit(_matrix(piece.column(1)))
                         for table in range(tables):
-                            codes = axes(unit, table, probes, second)
-                            take = pa.array(np.repeat(np.arange(len(codes)), codes.shape[1]))
-                            bucket = pa.array(codes.ravel() + (np.int64(table) << 40))
-                            yield pa.RecordBatch.from_arrays([bucket, *(piece.column(k).take(take) for k in range(piece.num_columns))], ["bucket", "dim", "vector", *names])
+                            codes = axes(unit, table, probes, second, every)
+                            step = max(1, 16384 // codes.shape[1])
+                            for at in range(0, len(codes), step):
+                                some = codes[at : at + step]
+                                take = pa.array(np.repeat(np.arange(at, at + len(some)), codes.shape[1]))
+                                bucket = pa.array(some.ravel() + (np.int64(table) << 40))
+                                yield pa.RecordBatch.from_arrays([bucket, *(piece.column(k).take(take) for k in range(piece.num_columns))], ["bucket", "dim", "vector", *names])
 
     schema = "bucket long, dim int, vector array<double>" + "".join(f", {n} {t}" for n, t in carried.items())
     return map_batches(rows.select("dim", "vector", *names), run, schema)
@@ -109,10 +111,10 @@ def _spread(rows: DataFrame, carried: dict[str, str], tables: int, probes: int,
 
 def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, second: int) -> DataFrame:
     """query_id, vec_id, score: for each query and group of vectors the k nearest of the group."""
-    placed = _spread(index, {"ids": "array<long>"}, tables, 1, second)
-    groups = _spread(index, {"ids": "array<long>"}, tables, 1, second).groupBy("dim", "bucket").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    placed = _spread(index, {"ids": "array<long>"}, tables, 1, second, False)
+    groups = _spread(index, {"ids": "array<long>"}, tables, 1, second, False).groupBy("dim", "bucket").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     placed = placed.join(groups, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
-    probing = _spread(queries, {"query_id": "long"}, tables, probes, second).join(groups, ["dim", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    probing = _spread(queries, {"query_id": "long"}, tables, probes, second, True).join(groups, ["dim", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     schema = "query_id long, vec_id long, score double"
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -167,7 +169,7 @@ def neighbours(vectors: DataFrame, wanted: Column, k: int = 10, tables: int = TA
     short = materialise(queries.join(enough, "query_id", "left_anti"), "short")
     if short.limit(1).count():
         every = max(2 << max(0, (d - 1).bit_length()) for d in sizes)
-        found = found.unionByName(_search(index, short, k, 1, every * max(1, 2 * second), second))
+        found = found.unionByName(_search(index, short, k, 1, every, second))
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

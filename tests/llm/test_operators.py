@@ -384,6 +384,22 @@ def test_neighbours(spark):
     assert ann.neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_do_not_depend_on_the_split(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(8000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    search, seen = ann._search, []
+    monkeypatch.setattr(ann, "_search", lambda *a: (seen.append(a[-2:]), search(*a))[1])
+    found = {}
+    for second, split in ((0, 8192), (4, 32), (8, 16), (16, 8)):
+        monkeypatch.setattr(ann, "SPLIT", split)
+        seen.clear()
+        found[second] = sorted(map(tuple, ann.neighbours(df, F.col("vec_id") % 400 == 0, tables=2).collect()))
+        assert seen == [(8, second)]
+    right = {(q, int(i)) for q in range(0, 8000, 400) for i in np.argsort(((x - x[q]) ** 2).sum(1))[1:11]}
+    print("recall", {s: len(right & {(q, v) for q, _, v, _ in rows}) / len(right) for s, rows in found.items()})
+    assert len(found[0]) == 200 and found[4] == found[8] == found[16] == found[0]
+
+
 def test_hadamard_is_orthogonal():
     h = ann.hadamard(np.eye(32))
     assert np.allclose(h @ h.T, np.eye(32))
