@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.coords import BP_PER_CM, PF3D7_LENGTHS, normalise_chr
+from locusframe.graph import components
 from locusframe.operators.intervals import interval_join
 from locusframe.tables import materialise
 
@@ -187,20 +188,13 @@ def gene_pairs(blocks: DataFrame, genes: DataFrame, within: int = 0, min_snp: in
     )
 
 
-def clusters(edges: DataFrame, key: str = "gene_id", rounds: int = 50) -> DataFrame:
+def clusters(edges: DataFrame, key: str = "gene_id") -> DataFrame:
     """key, sample, gene_cluster_id, gene_cluster_size: single linkage within each key.
 
-    Labels spread along edges until none changes; ids go by size, ties by the smallest member."""
+    Ids go by size, ties by the smallest member; a sample with an edge to itself alone is a cluster."""
     both = materialise(edges.select(key, F.col("sample1").alias("a"), F.col("sample2").alias("b")).union(edges.select(key, "sample2", "sample1")).distinct(), "edges")
-    labels = materialise(both.groupBy(key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = materialise(labels.join(near, [key, "node"]).select(key, "node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), "labels")
-        labels = new.select(key, "node", "label")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    nodes = both.where(F.col(key).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull()).select(key, F.col("a").alias("node")).distinct()
+    labels = nodes.join(components(both, key), [key, "node"], "left").select(key, "node", F.coalesce("label", "node").alias("label"))
     sizes = labels.groupBy(key, "label").agg(F.count("*").alias("gene_cluster_size"))
     ids = sizes.withColumn("gene_cluster_id", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("gene_cluster_size"), "label")).cast("long"))
     return labels.join(ids, [key, "label"]).select(key, F.col("node").alias("sample"), "gene_cluster_id", "gene_cluster_size")

@@ -154,6 +154,13 @@ def test_gene_pairs_and_clusters(spark):
     assert got == {"a": (1, 3), "b": (1, 3), "c": (1, 3), "d": (2, 2), "e": (2, 2), "f": (3, 2), "g": (3, 2)}
 
 
+def test_clusters_of_a_long_chain(spark):
+    edges = [(g, f"s{i:03}", f"s{i + 1:03}") for g in ("g", "h") for i in range(120) if (g, i) != ("h", 60)]
+    got = {(r["gene_id"], r["sample"]): (r["gene_cluster_id"], r["gene_cluster_size"]) for r in ibd.clusters(spark.createDataFrame(edges + [("g", "t", "t")], "gene_id string, sample1 string, sample2 string")).collect()}
+    want = {("g", f"s{i:03}"): (1, 121) for i in range(121)} | {("g", "t"): (2, 1)}
+    assert got == want | {("h", f"s{i:03}"): (1, 61) if i <= 60 else (2, 60) for i in range(121)}
+
+
 def test_benjamini_hochberg(spark):
     p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216, None]
     want, low = [], 1.0
