@@ -45,7 +45,7 @@ def allele_freqs(calls: DataFrame, group: str | None = None, per_alt: bool = Fal
     ]
     if group:
         counted = cells.where(F.col(group).isNotNull()).groupBy(*keys, group).agg(*sums)
-        spine = cells.select(*keys).distinct().crossJoin(F.broadcast(cells.where(F.col(group).isNotNull()).select(group).distinct().limit(100_000)))
+        spine = cells.select(*keys).distinct().crossJoin(cells.where(F.col(group).isNotNull()).select(group).distinct())
         counts = [c for c in ("ac", "an", "n_samples_ad", "n_samples_alt", "n_samples", "n_samples_alt_ad")]
         counted = spine.join(counted, [*keys, group], "left").na.fill(0, counts)
     else:

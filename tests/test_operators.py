@@ -110,6 +110,12 @@ def test_allele_freqs_by_hand(spark):
     assert group["b", "y"]["af"] is None and group["b", "y"]["an"] == 0
 
 
+def test_allele_freqs_of_many_groups(spark):
+    calls = spark.range(100_500).select(F.lit("a").alias("site"), F.lit("s").alias("sample"), F.col("id").alias("grp"), F.array(F.lit(0), F.lit(1)).alias("gt"), F.array(F.lit(3), F.lit(3)).alias("ad"), F.array(F.lit("T")).alias("alts"))
+    out = freqs.allele_freqs(calls, group="grp")
+    assert out.where("an = 2 AND af = 0.5").count() == out.select("grp").distinct().count() == 100_500
+
+
 def test_weighted_freqs(spark):
     rows = [("a", f"s{i}", gt, ad, ["T"]) for i, (gt, ad) in enumerate([([1, 1], [5, 95]), ([1, 1], [95, 5]), ([0, 1], [50, 50]), ([0, 0], [100, 0])])]
     r = freqs.allele_freqs(spark.createDataFrame(rows, "site string, sample string, gt array<int>, ad array<int>, alts array<string>")).first()
