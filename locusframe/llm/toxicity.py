@@ -92,62 +92,76 @@ class Network:
         found = 1 / (1 + np.exp(-(pooled @ self.out.astype(np.float64) + self.bias)))
         return np.where(size > 0, found, 0.0)
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.05) -> None:
-        """AdaGrad on the log loss, a text at a time in mini-batches; gradients flow through the pooled maxima only."""
-        rng = np.random.default_rng(self.seed + 1)
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 10, rate: float = 0.15, min_texts: int = 3, damping: float = 0.1, dropout: float = 0.6) -> None:
+        """AdaGrad on the log loss in mini-batches of 16 texts; gradients flow through the pooled maxima only.
+
+        Embedding rows that occur in fewer than min_texts of the texts are zero and stay so, as do those
+        that never occur: one or two texts say nothing about a word. damping keeps the first steps of a
+        row in proportion to its gradient, so that a word counts by the texts it occurs in; dropout hides a share of the
+        tokens in every round, so that no text is explained by one word alone."""
+        rng, gap = np.random.default_rng(self.seed + 1), max(WIDTHS) - 1
+        seen_in = np.zeros(SIZE, np.int64)
+        for ids in texts:
+            seen_in[np.unique(ids)] += 1
+        known = seen_in >= min_texts
+        self.table[~known] = 0
         sums = [np.full_like(k, 1e-6) for k in (*self.kernels, self.shift, self.out)]
-        rows, bias_sum = np.full((SIZE, 1), 1e-6, np.float32), 1e-6
+        rows, bias_sum = np.full((SIZE, 1), damping, np.float32), 1e-6
+        order_of = np.flatnonzero([len(t) > 0 for t in texts])
         for _ in range(epochs):
-            order = rng.permutation(len(texts))
+            order = rng.permutation(order_of)
             for lo in range(0, len(order), 16):
+                mine = order[lo : lo + 16]
+                size = np.array([len(texts[i]) for i in mine])
+                begin = np.cumsum(size + gap) - size - gap
+                place = np.arange(size.sum()) + gap * np.repeat(np.arange(len(mine)), size)
+                total = int(size.sum() + gap * len(mine))
+                ids, real = np.zeros((total, 1 + len(PREFIXES)), np.int32), np.zeros(total, bool)
+                ids[place], real[place] = np.concatenate([texts[i] for i in mine]), True
+                real &= rng.random(total) >= dropout
+                x = self.vectors(ids) * real[:, None]
+                y = self.maps(x)
+                at = np.stack([y[b : b + n].argmax(0) + b for b, n in zip(begin, size, strict=True)])
+                top = y[at, np.arange(y.shape[1])] + self.shift
+                seen = np.maximum(top, 0)
+                error = 1 / (1 + np.exp(-(seen @ self.out) - self.bias)) - labels[mine]
+                back = np.where(top > 0, error[:, None] * self.out, 0).astype(np.float32)
                 grads = [np.zeros_like(s) for s in sums]
-                touched, moves, bias_grad = [], [], 0.0
-                for i in order[lo : lo + 16]:
-                    ids = texts[i]
-                    if not len(ids):
-                        continue
-                    x = self.vectors(ids)
-                    y = self.maps(x)
-                    at = y.argmax(0)
-                    top = y[at, np.arange(y.shape[1])] + self.shift
-                    seen = np.maximum(top, 0)
-                    error = 1 / (1 + np.exp(-float(seen @ self.out) - self.bias)) - labels[i]
-                    bias_grad += error
-                    grads[-1] += error * seen
-                    back = np.where(top > 0, error * self.out, 0).astype(np.float32)
-                    grads[-2] += back
-                    for k, (w, kernel) in enumerate(zip(WIDTHS, self.kernels, strict=True)):
-                        where, b = at[k * self.filters : (k + 1) * self.filters], back[k * self.filters : (k + 1) * self.filters]
-                        for j in range(w):
-                            ok = where + j < len(x)
-                            p = where[ok] + j
-                            grads[k][j][:, ok] += (x[p] * b[ok, None]).T
-                            move = kernel[j][:, ok].T * b[ok, None]
-                            for c in range(ids.shape[1]):
-                                touched.append(ids[p, c])
-                                moves.append(move)
+                grads[-1], grads[-2] = (error @ seen).astype(np.float32), back.sum(0)
+                touched, moves = [], []
+                for k, (w, kernel) in enumerate(zip(WIDTHS, self.kernels, strict=True)):
+                    part = slice(k * self.filters, (k + 1) * self.filters)
+                    for j in range(w):
+                        p, b = at[:, part] + j, back[:, part]
+                        grads[k][j] = np.einsum("tfd,tf->df", x[p], b)
+                        ok = real[p] & (b != 0)
+                        touched.append(ids[p[ok]])
+                        moves.append((kernel[j].T[None] * b[:, :, None])[ok])
                 for value, g, s in zip((*self.kernels, self.shift, self.out), grads, sums, strict=True):
                     s += g * g
                     value -= (rate * g / np.sqrt(s)).astype(np.float32)
+                bias_grad = float(error.sum())
                 bias_sum += bias_grad**2
                 self.bias -= rate * bias_grad / bias_sum**0.5
-                if touched:
-                    where, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                    g = np.zeros((len(where), self.dim), np.float32)
-                    np.add.at(g, inverse, np.concatenate(moves))
+                where, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+                if len(where):
+                    move, g = np.concatenate(moves), np.zeros((len(where), self.dim), np.float32)
+                    for c in range(1 + len(PREFIXES)):
+                        np.add.at(g, inverse.reshape(-1, 1 + len(PREFIXES))[:, c], move)
+                    g[~known[where]] = 0
                     rows[where] += (g * g).mean(1, keepdims=True)
                     self.table[where] -= rate * g / np.sqrt(rows[where])
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, table=self.table, shift=self.shift, out=self.out, bias=self.bias, **{f"k{i}": k for i, k in enumerate(self.kernels)})
+        np.savez(out, table=self.table, shift=self.shift, out=self.out, bias=self.bias, langs=np.array([*self.thresholds], np.str_), limits=np.array([*self.thresholds.values()], np.float64), **{f"k{i}": k for i, k in enumerate(self.kernels)})
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Network:
         z = np.load(io.BytesIO(data))
         kernels = [z[f"k{i}"] for i in range(len(WIDTHS))]
-        return cls(dim=z["table"].shape[1], filters=kernels[0].shape[2], table=z["table"], kernels=kernels, shift=z["shift"], out=z["out"], bias=float(z["bias"]))
+        return cls(dim=z["table"].shape[1], filters=kernels[0].shape[2], table=z["table"], kernels=kernels, shift=z["shift"], out=z["out"], bias=float(z["bias"]), thresholds=dict(zip(z["langs"].tolist(), z["limits"].tolist(), strict=True)))
 
 
 def _best_threshold(scores: np.ndarray, labels: np.ndarray, clean_weight: float = 4.0) -> float:
@@ -163,51 +177,82 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray, clean_weight: float
     return float(np.clip(edges[best[width.argmax()]], 0.02, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_per_class: int = 3000, holdout: float = 0.2, epochs: int = 6, seed: int = 7) -> Network:
-    """Fit on at most max_per_class labelled rows of each class, those with the smallest id hashes.
-
-    labels: doc_id, toxic. usable: which labels may be used. Rows with a null label or id are left out,
-    of several labels of one id the largest counts; with no usable rows of both classes the network
-    stays as it was drawn and scores everything by the share of label 1. A fifth of the sample is
-    kept from training; on it a threshold is set for each language ("" for all languages together)
-    with at least 5 rows of both classes.
-    """
-    picked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    if usable is not None:
-        picked = picked.where(usable)
-    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [picked.where(F.col("toxic") == k).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_per_class) for k in (0, 1)]
-    sample = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select("doc_id", "text", "lang").join(sample, "doc_id").select("h", "doc_id", "text", "lang", "toxic").toPandas()
-    rows = rows.sort_values(["h", "doc_id"]).drop_duplicates("doc_id").reset_index(drop=True)
-    share = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
-    prior = (share.get(1, 0) + 1) / (share.get(0, 0) + share.get(1, 0) + 2)
+def _fit_sample(texts: list[np.ndarray], y: np.ndarray, langs: np.ndarray, prior: float, holdout: float, epochs: int, seed: int) -> Network:
+    """Fit on the sample less every 1/holdout-th text, then set thresholds by language on those."""
     net = Network(seed=seed)
-    y = rows["toxic"].to_numpy(np.float64)
-    if not len(rows) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         net.out[:] = 0
         net.bias = float(np.log(prior / (1 - prior)))
         return net
-    texts: list[np.ndarray] = []
-    for lo, hi, buf, offs in text_chunks(pa.array(rows["text"].tolist(), pa.string())):
-        ids, first = features(buf, offs)
-        texts += [ids[first[i] : first[i + 1]] for i in range(hi - lo)]
-    held = np.arange(len(rows)) % max(2, round(1 / holdout)) == 0
+    held = np.arange(len(y)) % max(2, round(1 / holdout)) == 0
     kept = np.flatnonzero(~held)
-    net.fit([texts[i] for i in kept], y[kept], epochs=max(epochs, min(24, 12_000 // len(kept))))
+    net.fit([texts[i] for i in kept], y[kept], epochs=max(epochs, min(60, 24_000 // len(kept))))
     odds = y[kept].mean()
     if 0 < odds < 1:
         net.bias += float(np.log(prior / (1 - prior)) - np.log(odds / (1 - odds)))
     tested = np.flatnonzero(held)
     scores = np.array([net.scores(texts[i], np.array([0, len(texts[i])]))[0] for i in tested])
-    langs = rows["lang"].fillna("").to_numpy()[tested]
-    for lang in ["", *sorted(set(langs.tolist()))]:
-        mine = np.ones(len(tested), bool) if lang == "" else langs == lang
+    for lang in ["", *sorted(set(langs[tested].tolist()) - {""})]:
+        mine = np.ones(len(tested), bool) if lang == "" else langs[tested] == lang
         if (n := y[tested][mine].sum()) >= 5 and mine.sum() - n >= 5:
             net.thresholds[lang] = _best_threshold(scores[mine], y[tested][mine])
     return net
 
 
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_per_class: int = 3000, max_tokens: int = 4_000_000, holdout: float = 0.2, epochs: int = 10, seed: int = 7) -> Network:
+    """Fit on at most max_per_class labelled rows of each class and max_tokens tokens, those with the smallest id hashes.
+
+    The sample is what bounds the fit: executors hash its texts, one task reads the token numbers (12
+    bytes each, whole texts, taken in order of id hash while they fit in max_tokens) and only the
+    weights reach the driver. labels: doc_id, toxic. usable: which labels may be used. Rows with a
+    null label or id are left out, of several labels of one id the largest counts, of several texts
+    the one with the smallest hash; with no usable rows of both classes the network stays as it was
+    drawn and scores everything by the share of label 1. A fifth of the sample is kept from training;
+    on it a threshold is set for each language ("" for all languages together, and for docs without
+    a column lang) with at least 5 rows of both classes.
+    """
+    picked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    if usable is not None:
+        picked = picked.where(usable)
+    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    parts = [picked.where(F.col("toxic") == k).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_per_class) for k in (0, 1)]
+    share = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
+    prior = (share.get(1, 0) + 1) / (share.get(0, 0) + share.get(1, 0) + 2)
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    sample = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_per_class rows of three numbers
+    rows = docs.select("doc_id", "text", lang.alias("lang")).join(sample, "doc_id").select("h", "doc_id", F.col("toxic").cast("int").alias("toxic"), "lang", F.xxhash64("text").alias("mark"), "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[bytes] = []
+            for lo, hi, buf, offs in text_chunks(batch.column(5)):
+                found, first = features(buf, offs)
+                ids += [found[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ids, pa.binary())], ["h", "doc_id", "toxic", "lang", "mark", "ids"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    coded = map_batches(rows, hashed, f"h long, doc_id {kind}, toxic int, lang string, mark long, ids binary")
+    single = coded.groupBy("h", "doc_id", "toxic").agg(F.min(F.struct("mark", "lang", "ids")).alias("one")).select("h", "doc_id", "toxic", "one.lang", "one.ids")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, langs, left = [], [], [], max_tokens
+        for batch in batches:
+            for toxic, code, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = np.frombuffer(ids.as_py(), np.int32).reshape(-1, 1 + len(PREFIXES))
+                if len(found) <= left:
+                    left -= len(found)
+                    texts.append(found)
+                    y.append(float(toxic))
+                    langs.append(code)
+        net = _fit_sample(texts, np.array(y), np.array(langs, object), prior, holdout, epochs, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], ["weights"])
+
+    # the sample is bounded, so one task may read all of it
+    ordered = single.repartition(1).sortWithinPartitions("h", "doc_id").select("toxic", "lang", "ids")
+    found = map_batches(ordered, fit, "weights binary").first()
+    return Network.load(bytes(found["weights"])) if found else _fit_sample([], np.zeros(0), np.zeros(0, object), prior, holdout, epochs, seed)
+
+
 _nets: dict[str, Network] = {}
 
 
