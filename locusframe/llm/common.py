@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from locusframe.shipping import ship
 from locusframe.tables import materialise as materialise
+from locusframe.tables import scratch as scratch
 
 #: ASCII white space that ends a word: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -97,20 +98,23 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(x))
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS = Powers(0x5851F42D4C957F2D)
+_TABLES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(odd)) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_POWERS = [Powers(0x5851F42D4C957F2D), Powers(0x2545F4914F6CDD1D)]
 
 
 class PrefixHash:
-    """Prefix sums of a polynomial in random byte values: the hash of any slice takes two look-ups."""
+    """Prefix sums of a polynomial in random byte values: the hash of any slice takes two look-ups.
 
-    def __init__(self, buf: np.ndarray) -> None:
-        _POWERS.reach(len(buf) + 1)
+    kind 0 and kind 1 have bases and byte values of their own; together they are 128 bits."""
+
+    def __init__(self, buf: np.ndarray, kind: int = 0) -> None:
+        self.powers = _POWERS[kind]
+        self.powers.reach(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLE[buf] * _POWERS.up[: len(buf)], out=self.sums[1:])
+        np.cumsum(_TABLES[kind][buf] * self.powers.up[: len(buf)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * _POWERS.down[start]
+        return (self.sums[end] - self.sums[start]) * self.powers.down[start]
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +138,16 @@ class Bloom:
     def __init__(self, keys: DataFrame, column: str) -> None:
         mask = (1 << self.BITS) - 1
         places = keys.select(F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, self.BITS).bitwiseAND(mask))).alias("p"))
-        rows = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")).toPandas()
+        rows = places.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")).toArrow()  # 2^20 rows of 12 bytes at most
         words = np.zeros(1 << (self.BITS - 6), np.int64)
-        words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+        words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
         self.shared = keys.sparkSession.sparkContext.broadcast(words)
         ship(keys.sparkSession)
 
+    def drop(self) -> None:
+        """Free the executors' and the driver's copies, once nothing lazy refers to the test any more."""
+        self.shared.destroy()
+
     def may_have(self, column: str) -> Column:
         shared, bits = self.shared, self.BITS
 

@@ -2,11 +2,13 @@
 
 A string of `size` bytes that occurs twice has the same least k-gram hash in both places, so its two
 copies hang on equal anchors. Every text is cut into extents: the strings that share one anchor,
-back to back. Extents that occur twice are repeats as they stand. Those whose anchor occurs with
-other extents too are cut into pieces of few offsets from the anchor; pieces that share the bytes
-common to all their strings meet, and the suffixes of such pieces are sorted: prefix hashes and
-binary search give common extensions, so a comparison takes logarithmic time, in a mergesort that
-runs over all groups at once. Equal neighbours are then compared byte by byte.
+back to back. Equal extents (equal 128-bit prefix hashes) are one extent with a count, so the sort
+sees every different one once. Extents whose anchor occurs with other extents too are cut into pieces
+of few offsets from the anchor; pieces that share the bytes common to all their strings meet, and the
+suffixes of such pieces are sorted: prefix hashes and binary search give common extensions, so a
+comparison takes logarithmic time, in a mergesort that runs over all groups at once. Equal neighbours
+are then compared byte by byte. A group of too many different pieces for one task is cut into pieces of
+half as many offsets, which share more bytes, and so on; at one offset all pieces of a group are equal.
 
 Texts are known by a 128-bit hash; copies of a text are one text with a count.
 """
@@ -14,19 +16,22 @@ Texts are known by a 128-bit hash; copies of a text are one text with a count.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import Bloom, PrefixHash, map_batches, materialise, mix64, text_chunks
+from locusframe.llm.common import LOWER, SPACE, Bloom, PrefixHash, map_batches, materialise, mix64, scratch, text_chunks
 
 SIZE = 400
-GRAM = 128
 BLOCK = 32
-HOT = 20_000
+#: Different pieces that one sort holds at most (some 2 MB of bytes); larger groups are cut before they are sorted.
+GROUP = 4096
+#: Bytes as they are compared when letter case and the kind of white space do not count; lengths stay.
+FOLD = np.where(SPACE, 32, LOWER).astype(np.uint8)
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,11 +47,12 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text index, anchor hash, extent hash, anchor, first and last start of its strings, for texts back to back."""
-    none = np.zeros(0, np.int64)
+def anchors(buf: np.ndarray, offs: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, ...]:
+    """Text index, anchor hash, two extent hashes, anchor, first and last start of its strings, for texts back to back."""
+    gram = max(1, size * 8 // 25)  # shorter ones give fewer anchors, longer ones rarer anchors
+    none = (np.zeros(0, np.int64),) * 7
     if len(buf) < size:
-        return none, none, none, none, none, none
+        return none
     hashes = PrefixHash(buf)
     at = np.arange(len(buf) - gram + 1)
     h = mix64(hashes.of(at, at + gram))
@@ -55,13 +61,14 @@ def anchors(buf: np.ndarray, offs: np.ndarray, size: int = SIZE, gram: int = GRA
     text = np.repeat(np.arange(len(offs) - 1), np.maximum(np.diff(offs), 0))[: len(least)]
     start = np.flatnonzero(np.arange(len(least)) + size <= offs[1:][text])
     if not len(start):
-        return none, none, none, none, none, none
+        return none
     least, text = least[start], text[start]
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
     lo, hi, anchor, text = start[new], start[np.append(new[1:], len(start)) - 1], least[new], text[new]
-    extent = mix64(mix64(hashes.of(lo, hi + size)) + (hi - lo).astype(np.uint64) * _C + (anchor - lo).astype(np.uint64))
+    shape = (hi - lo).astype(np.uint64) * _C + (anchor - lo).astype(np.uint64)
+    extents = [mix64(mix64(x.of(lo, hi + size)) + shape).view(np.int64) for x in (hashes, PrefixHash(buf, 1))]
     base = offs[text]
-    return text, h[anchor].view(np.int64), extent.view(np.int64), anchor - base, lo - base, hi - base
+    return text, h[anchor].view(np.int64), *extents, anchor - base, lo - base, hi - base
 
 
 def _before(hashes: PrefixHash, buf: np.ndarray, x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
@@ -153,47 +160,78 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), data.alias("data"), F.xxhash64(data).alias("t1"), F.xxhash64(F.lit(1), data).alias("t2"))
 
 
-def _find_anchors(texts: DataFrame, size: int) -> DataFrame:
-    names = ["t1", "t2", "akey", "ext", "a", "lo", "hi"]
+def _find_anchors(texts: DataFrame, size: int, fold: bool) -> DataFrame:
+    names = ["t1", "t2", "akey", "ext", "ext2", "a", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = np.array(batch.column(1)), np.array(batch.column(2))
             for low, _, buf, offs in text_chunks(batch.column(0)):
-                text, *rest = anchors(buf, offs, size)
+                text, *rest = anchors(FOLD[buf] if fold else buf, offs, size)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[text + low], t2[text + low], *rest)], names)
 
     return map_batches(texts.where(F.length("data") >= size).select("data", "t1", "t2"), run, ", ".join(f"{n} long" for n in names))
 
 
-def _cut_pieces(texts: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """Pieces of the contested extents: their strings whose offset from the anchor lies in one block of BLOCK offsets."""
+_PIECES = ["t1", "t2", "akey", "block", "core", "n", "lo", "hi", "base", "piece", "bytes"]
+_PIECES_SCHEMA = ", ".join(f"{n} long" for n in _PIECES[:-2]) + ", piece binary, bytes binary"
+
+
+def _blocks_of(data: bytes, at: int, anchor: int, lo: int, hi: int, block: int, size: int) -> Iterator[tuple]:
+    """Pieces (block number, core, first and last start, mark, bytes) of the strings lo to hi; data begins at place `at` of its text.
+
+    A piece has the strings whose offset from the anchor lies in one run of `block` offsets. Its core is
+    the hash of the bytes that all strings of the run have in common, its mark that of the piece itself."""
+    for k in range((anchor - hi) // block, (anchor - lo) // block + 1):
+        first, last = max(lo, anchor - k * block - block + 1), min(hi, anchor - k * block)
+        core = hashlib.blake2b(data[anchor - k * block - at : anchor - k * block - block + 1 + size - at], digest_size=8).digest()
+        piece = data[first - at : last + size - at]
+        mark = hashlib.blake2b(piece + bytes([(anchor - last) % block, last - first]), digest_size=16).digest()
+        yield k, int.from_bytes(core, "little", signed=True), first, last, mark, piece
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-2]), *(pa.array(c, pa.binary()) for c in columns[-2:])], _PIECES)
+
+
+def _cut_pieces(texts: DataFrame, places: DataFrame, bloom: Bloom, size: int, fold: bool) -> DataFrame:
+    """Pieces of the contested extents."""
     lists = places.groupBy("t1", "t2", "rep").agg(F.collect_list(F.struct("akey", "n", "a", "lo", "hi")).alias("places"))
-    bloom = Bloom(places.select("t1").distinct(), "t1")
     source = texts.where(bloom.may_have("t1")).select("t1", "t2", F.col("row.doc_id").alias("doc_id"), "data")
     joined = source.join(lists.withColumnsRenamed({"t1": "u1", "t2": "u2"}), (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    names = ["t1", "t2", "akey", "block", "core", "piece", "n", "lo", "hi", "base", "bytes"]
+    table = FOLD.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 t1, t2, data = (batch.column(k)[i].as_py() for k in range(3))
-                rows = []
-                for p in batch.column(3)[i].as_py():
-                    a = p["a"]
-                    for block in range((a - p["hi"]) // BLOCK, (a - p["lo"]) // BLOCK + 1):
-                        lo, hi = max(p["lo"], a - block * BLOCK - BLOCK + 1), min(p["hi"], a - block * BLOCK)
-                        # bytes that every string of this block of offsets covers, whether or not the extent has them all
-                        left, right = max(0, a - block * BLOCK), min(len(data), a - block * BLOCK - BLOCK + 1 + size)
-                        core = hashlib.blake2b(data[left:right], digest_size=8).digest()
-                        piece = data[lo : hi + size]
-                        mark = hashlib.blake2b(piece + bytes([(a - hi) % BLOCK, hi - lo]), digest_size=8).digest()
-                        rows.append((t1, t2, p["akey"], block, int.from_bytes(core, "little", signed=True), int.from_bytes(mark, "little", signed=True), p["n"], lo, hi, a, piece))
+                data = data.translate(table) if fold else data
+                rows = [
+                    (t1, t2, p["akey"], k, core, p["n"], lo, hi, p["a"], mark, piece)
+                    for p in batch.column(3)[i].as_py()
+                    for k, core, lo, hi, mark, piece in _blocks_of(data, 0, p["a"], p["lo"], p["hi"], BLOCK, size)
+                ]
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names)
+                    yield _piece_batch(rows)
+
+    return map_batches(joined.select("t1", "t2", "data", "places"), run, _PIECES_SCHEMA)
 
-    return map_batches(joined.select("t1", "t2", "data", "places"), run, ", ".join(f"{n} long" for n in names[:-1]) + ", bytes binary")
+
+def _halve(pieces: DataFrame, block: int, size: int) -> DataFrame:
+    """The same strings in pieces of at most `block` offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (t1, t2, akey, k, core, n, first, last, base, mark, piece)
+                for t1, t2, akey, n, lo, hi, base, data in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for k, core, first, last, mark, piece in _blocks_of(data, lo, base, lo, hi, block, size)
+            ]
+            if rows:
+                yield _piece_batch(rows)
+
+    return map_batches(pieces.select("t1", "t2", "akey", "n", "lo", "hi", "base", "bytes"), run, _PIECES_SCHEMA)
 
 
 def _sorted_spans(pieces: DataFrame, size: int) -> DataFrame:
@@ -239,43 +277,44 @@ def _sorted_spans(pieces: DataFrame, size: int) -> DataFrame:
     return map_batches(flow, run, ", ".join(f"{n} long" for n in names))
 
 
-def _counted_spans(pieces: DataFrame, size: int) -> DataFrame:
-    """The same for groups of very many different pieces: strings are counted by 128-bit hash, no group is gathered."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for akey, t1, t2, n, lo, hi, base, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for p in range(lo, hi + 1):
-                    out.append((akey, base - p, hashlib.blake2b(data[p - lo : p - lo + size], digest_size=16).digest(), t1, t2, n, p))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["akey", "o", "digest", "t1", "t2", "n", "p"])
-
-    strings = map_batches(pieces.select("akey", "t1", "t2", "n", "lo", "hi", "base", "bytes"), run, "akey long, o long, digest binary, t1 long, t2 long, n long, p long")
-    twice = strings.groupBy("akey", "o", "digest").agg(F.count("*").alias("m")).where("m > 1")
-    return strings.where("n < 2").join(twice, ["akey", "o", "digest"]).select("t1", "t2", F.col("p").alias("start"), (F.col("p") + size).alias("end"))
-
-
-def repeated_spans(texts: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def _settled(pieces: DataFrame, block: int, size: int) -> DataFrame:
+    """Spans of all repeated strings of the pieces.
+
+    Equal pieces are repeats as they stand; a group with different pieces, one of them alone, is sorted
+    if GROUP of them are enough, else its pieces are halved and settled again."""
+    ends = [F.col("lo").alias("start"), (F.col("hi") + size).alias("end")]
+    key, spans = ["akey", "block", "core"], []
+    while True:
+        kinds = materialise(pieces.groupBy(*key, "piece").agg(F.sum("n").alias("total")), "kinds")
+        spans.append(pieces.where("n < 2").join(kinds.where("total > 1"), [*key, "piece"]).select("t1", "t2", *ends))
+        groups = kinds.groupBy(*key).agg(F.count("*").alias("m"), F.min("total").alias("fewest")).where("m > 1 AND fewest = 1").select(*key, "m")
+        mixed = materialise(pieces.drop("n").join(groups, key).join(kinds, [*key, "piece"]).withColumnRenamed("total", "n").dropDuplicates([*key, "piece"]), "mixed")
+        spans.append(_sorted_spans(mixed.where(F.col("m") <= GROUP), size))
+        hot = mixed.where(F.col("m") > GROUP)
+        if block == 1 or hot.isEmpty():
+            break
+        block //= 2
+        pieces = materialise(_halve(hot, block, size), "pieces")
+    return reduce(DataFrame.union, spans)
+
+
+def repeated_spans(texts: DataFrame, size: int = SIZE, fold: bool = False) -> tuple[DataFrame, DataFrame]:
     """Spans (t1, t2, start, end) of repeated bytes, not yet merged; and the texts that occur in copies.
 
     A text of size bytes or more that occurs in copies is repeated as a whole and needs no spans."""
     classes = materialise(texts.groupBy("t1", "t2").agg(F.min("row.doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    found = materialise(_find_anchors(texts, size), "anchors")
-    extents = materialise(
-        found.groupBy("akey", "ext").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t1", "t2", "a", "lo", "hi")]), "extents"
-    )
-    whole = found.select("akey", "ext", "t1", "t2", "lo", "hi").join(extents.where("n > 1").select("akey", "ext"), ["akey", "ext"]).select("t1", "t2", F.col("lo").alias("start"), (F.col("hi") + size).alias("end")).distinct()
-    contested = extents.groupBy("akey").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 AND fewest = 1").select("akey")
-    places = materialise(extents.join(contested, "akey").join(classes.select("t1", "t2", "rep"), ["t1", "t2"]), "places")
-    pieces = materialise(_cut_pieces(texts, places, size), "pieces")
-    kinds = pieces.groupBy("akey", "block", "core", "piece").agg(F.sum("n").alias("total"))
-    same = pieces.where("n < 2").join(kinds.where("total > 1"), ["akey", "block", "core", "piece"]).select("t1", "t2", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
-    groups = kinds.groupBy("akey", "block", "core").agg(F.count("*").alias("m"), F.min("total").alias("fewest")).where("m > 1 AND fewest = 1").select("akey", "block", "core", "m")
-    mixed = materialise(pieces.join(groups, ["akey", "block", "core"]).join(kinds, ["akey", "block", "core", "piece"]).withColumn("n", F.col("total")).dropDuplicates(["akey", "block", "core", "piece"]), "mixed")
-    spans = whole.union(same).union(_sorted_spans(mixed.where(F.col("m") <= HOT), size)).union(_counted_spans(mixed.where(F.col("m") > HOT), size))
-    return materialise(spans, "spans"), classes.where("copies > 1")
+    with scratch(texts.sparkSession) as block:
+        found = materialise(_find_anchors(texts, size, fold), "anchors")
+        same = ["akey", "ext", "ext2"]
+        extents = materialise(found.groupBy(*same).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t1", "t2", "a", "lo", "hi")]), "extents")
+        whole = found.select(*same, "t1", "t2", "lo", "hi").join(extents.where("n > 1").select(*same), same).select("t1", "t2", F.col("lo").alias("start"), (F.col("hi") + size).alias("end")).distinct()
+        contested = extents.groupBy("akey").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 AND fewest = 1").select("akey")
+        places = materialise(extents.join(contested, "akey").join(classes.select("t1", "t2", "rep"), ["t1", "t2"]), "places")
+        bloom = Bloom(places.select("t1").distinct(), "t1")
+        pieces = materialise(_cut_pieces(texts, places, bloom, size, fold), "pieces")
+        spans = block.keep(whole.union(_settled(pieces, BLOCK, size)), "spans")
+        bloom.drop()
+    return spans, classes.where("copies > 1")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -288,36 +327,53 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans drawn in to the borders of UTF-8 characters."""
+def _drawn_in(data: bytes, spans: list[tuple[int, int]], inside: Callable[[int], bool]) -> list[tuple[int, int]]:
+    """Spans drawn in until neither end lies inside a unit; inside(i): whether bytes i - 1 and i belong together."""
     out = []
     for a, b in spans:
-        while a < b and data[a] & 0xC0 == 0x80:
+        while a < b and inside(a):
             a += 1
-        while a < b and b < len(data) and data[b] & 0xC0 == 0x80:
+        while a < b and inside(b):
             b -= 1
         if a < b:
             out.append((a, b))
     return out
 
 
-def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False) -> DataFrame:
+def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans drawn in to the borders of UTF-8 characters."""
+    return _drawn_in(data, spans, lambda i: i < len(data) and data[i] & 0xC0 == 0x80)
+
+
+_BLANK = b" \t\n\x0b\x0c\r"
+
+
+def _whole_words(data: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Spans from the start of their first whole word to the end of their last, those with at least `words` of them."""
+    cut = _drawn_in(data, spans, lambda i: 0 < i < len(data) and data[i - 1] not in _BLANK and data[i] not in _BLANK)
+    cut = [(b - len(data[a:b].lstrip(_BLANK)), a + len(data[a:b].rstrip(_BLANK))) for a, b in cut]
+    return [(a, b) for a, b in cut if len(data[a:b].split()) >= words]
+
+
+def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False, fold: bool = False, words: int = 0) -> DataFrame:
     """row, n_bytes, n_removed, n_spans, kept (bytes): what is left of each text without its repeated strings.
 
     A byte goes if a string of size bytes that covers it also starts anywhere else, in the same text
     or another; strings are judged on the input. Null texts are empty; repeated rows are copies of
     each other, so from size bytes on nothing of them is left. With characters, spans stop at whole
-    UTF-8 characters, so that what is left can be text again.
+    UTF-8 characters, so that what is left can be text again. With fold, A-Z equal a-z and all white
+    space is alike. With words, spans stop at whole words and those of fewer than `words` stay.
     """
-    texts = keyed(docs)
-    spans, copies = repeated_spans(texts, size)
-    lists = (
-        spans.union(copies.select("t1", "t2", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
-        .distinct()
-        .groupBy(F.col("t1").alias("u1"), F.col("t2").alias("u2"))
-        .agg(F.when(F.min("start") < 0, F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))).otherwise(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    )
-    lists = materialise(lists, "lists")
+    with scratch(docs.sparkSession) as block:
+        texts = keyed(docs)
+        spans, copies = repeated_spans(texts, size, fold)
+        lists = (
+            spans.union(copies.select("t1", "t2", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
+            .distinct()
+            .groupBy(F.col("t1").alias("u1"), F.col("t2").alias("u2"))
+            .agg(F.when(F.min("start") < 0, F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))).otherwise(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        )
+        lists = block.keep(lists, "lists")
     bloom = Bloom(lists.select("u1"), "u1")
     marked = texts.withColumn("hit", bloom.may_have("t1"))
     touched = marked.where("hit").join(lists, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left").select("row", "data", "spans")
@@ -331,6 +387,8 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False) -
                 merged = merge_spans([(s["start"], s["end"]) for s in found])
                 if merged and merged[0][0] < 0:
                     merged = [(0, len(data))] if len(data) >= size else []
+                if words:
+                    merged = _whole_words(data, merged, words)
                 if characters:
                     merged = _whole_characters(data, merged)
                 at, parts = 0, []

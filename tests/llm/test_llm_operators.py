@@ -204,10 +204,30 @@ def test_suffix_against_brute_force(spark, docs):
     assert suffix.strip_repeats(docs.limit(0)).count() == 0
 
 
-def test_suffix_hot_groups_by_count(spark, docs, monkeypatch):
-    want = sorted((r["row"]["doc_id"] or -1, r["n_removed"]) for r in suffix.strip_repeats(docs).collect())
-    monkeypatch.setattr(suffix, "HOT", 1)
-    assert sorted((r["row"]["doc_id"] or -1, r["n_removed"]) for r in suffix.strip_repeats(docs).collect()) == want
+@pytest.mark.parametrize("group", [1])
+def test_suffix_large_groups_are_halved(spark, docs, monkeypatch, group):
+    want = sorted((r["row"]["doc_id"] or -1, r["n_removed"], r["n_spans"]) for r in suffix.strip_repeats(docs).collect())
+    monkeypatch.setattr(suffix, "GROUP", group)
+    halved, halve = [], suffix._halve
+    monkeypatch.setattr(suffix, "_halve", lambda pieces, block, size: (halved.append(block), halve(pieces, block, size))[1])
+    assert sorted((r["row"]["doc_id"] or -1, r["n_removed"], r["n_spans"]) for r in suffix.strip_repeats(docs).collect()) == want
+    assert halved[0] == 16 and halved == sorted(halved, reverse=True)
+
+
+def test_suffix_fold_and_whole_words(spark):
+    passage = prose(55, 300)
+    shout = passage.upper().replace("É", "é").replace(" ", "\n")
+    texts = [f"{prose(30, 301)} xq{'a' * 5} {passage} {prose(20, 302)}", f"{prose(25, 303)} {shout} {prose(31, 304)}", prose(90, 305), prose(20, 306) + " " + prose(40, 307), prose(40, 307)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = min(150, len(passage.encode()) // 2)
+    plain = {r["row"]["doc_id"]: r["n_removed"] for r in suffix.strip_repeats(df, size).collect()}
+    assert plain[0] == plain[1] == plain[2] == 0 and plain[4] > 0
+    out = {r["row"]["doc_id"]: r for r in suffix.strip_repeats(df, size, characters=True, fold=True, words=51).collect()}
+    assert passage.split()[20] and passage not in bytes(out[0]["kept"]).decode() and shout not in bytes(out[1]["kept"]).decode()
+    for i, piece in ((0, passage), (1, shout)):
+        left, right = texts[i].split(piece)
+        assert bytes(out[i]["kept"]).decode().split() == left.split() + right.split() and out[i]["n_spans"] == 1
+    assert [out[i]["n_removed"] for i in (2, 3, 4)] == [0, 0, 0]
 
 
 def test_suffix_sort_orders_and_finds_repeats():
