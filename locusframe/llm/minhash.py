@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import LOWER, Bloom, PrefixHash, map_batches, materialise, mix64, text_chunks, word_spans
+from locusframe.llm.common import LOWER, Bloom, PrefixHash, map_batches, materialise, mix64, scratch, text_chunks, word_spans
 from locusframe.llm.graph import components
 from locusframe.shipping import ship
 
@@ -271,29 +271,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
 
     Null texts are empty; empty texts link with nothing and are kept. Repeated rows are copies of one
     document: same component, same decision. Rows with a null doc_id link nothing and are kept, with a
-    null component. Of texts that differ under one id each is a text of its own.
+    null component. Of texts that differ under one id each is a text of its own. The result is a table
+    in the shared folder; all other tables written on the way are deleted.
     """
     threshold = percent / 100
     least = least_matches(threshold, miss)
-    sketches = materialise(sketch(docs), "sketches")
-    classes = materialise(
-        sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy(F.col("key").alias("node"))
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks")),
-        "classes",
-    )
-    hubs = buckets(classes).groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    members = materialise(buckets(classes).join(hubs, "bucket"), "members")
-    pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    sets = materialise(full_sets(members.select("node").distinct(), docs, classes), "sets")
-    links = materialise(verified(surviving(pairs, classes, least, threshold), sets, percent), "links")
-    labels = components(links)
-    bridges = materialise(cross_links(members, classes, sets, labels, least, percent), "bridges")
-    if bridges.limit(1).count():
-        labels = components(links.unionByName(bridges))
-    joined = labels.join(classes.select("node", "rep"), "node")
-    lowest = joined.groupBy("label").agg(F.min("rep").alias("low"))
-    grouped = classes.where("copies > 1").select("node", "rep").union(joined.select("node", "rep")).distinct()
-    final = grouped.join(joined.join(lowest, "label").select("node", "low"), "node", "left").select(F.col("node").alias("key"), F.coalesce("low", "rep").alias("low"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
-    return sketches.select("doc_id", "n_shingles", "key").join(final, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scratch(docs.sparkSession) as block:
+        sketches = materialise(sketch(docs), "sketches")
+        classes = materialise(
+            sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
+            .groupBy(F.col("key").alias("node"))
+            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks")),
+            "classes",
+        )
+        hubs = buckets(classes).groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+        members = materialise(buckets(classes).join(hubs, "bucket"), "members")
+        pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        sets = materialise(full_sets(members.select("node").distinct(), docs, classes), "sets")
+        links = materialise(verified(surviving(pairs, classes, least, threshold), sets, percent), "links")
+        labels = components(links)
+        bridges = materialise(cross_links(members, classes, sets, labels, least, percent), "bridges")
+        if not bridges.isEmpty():
+            labels = components(links.unionByName(bridges))
+        joined = labels.join(classes.select("node", "rep"), "node")
+        lowest = joined.groupBy("label").agg(F.min("rep").alias("low"))
+        grouped = classes.where("copies > 1").select("node", "rep").union(joined.select("node", "rep")).distinct()
+        final = grouped.join(joined.join(lowest, "label").select("node", "low"), "node", "left").select(F.col("node").alias("key"), F.coalesce("low", "rep").alias("low"))
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
+        out = sketches.select("doc_id", "n_shingles", "key").join(final, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        return block.keep(out, "near-duplicates")
