@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import bpe, minhash, mixing, suffix, toxicity
-from locusframe.llm.common import crc_of_id, materialise, table
+from locusframe.llm.common import crc_of_id, scratch, table
+
+#: Fewer bytes than 51 words of prose have.
+PASSAGE_BYTES = 200
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group, once; rows without an id stay."""
-    found = materialise(minhash.near_duplicates(docs), "groups")
+    found = minhash.near_duplicates(docs)
     kept = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     named = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     again = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -32,8 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes or more that also start elsewhere; n_chars follows."""
-    left = suffix.strip_repeats(docs, characters=True)
+    """All documents, without their passages of over 50 words that also occur elsewhere; n_chars follows.
+
+    A passage is a run of whole words covered by repeated strings of PASSAGE_BYTES, letter case and kind of white space aside."""
+    left = suffix.strip_repeats(docs, PASSAGE_BYTES, characters=True, fold=True, words=PASSAGE_WORDS)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept").cast("string"))
     changed = {"text": text, "n_chars": F.when(F.col("row.text").isNotNull(), F.length(text)).cast("long")}
     return left.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -64,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as block:
+            docs = block.keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
