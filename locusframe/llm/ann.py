@@ -3,6 +3,9 @@
 A pseudo-random rotation (three rounds of random signs and a fast Hadamard transform) sends a unit
 vector near one signed axis; that axis is its bucket. Several tables hold every vector, queries probe
 the nearest axes of each, and what they find is ranked by exact distances of the original vectors.
+
+Tables and probes are parameters and do not change with the input. A bucket is worked on in blocks of
+GROUP vectors by QUERIES queries, so one bucket with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -15,15 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import map_batches, materialise
+from locusframe.llm.common import map_batches, materialise, scratch
 from locusframe.shipping import ship
 
 TABLES = 10
-PROBES = 8
-#: A group of one bucket holds about so many vectors.
+PROBES = 12
+#: Vectors and query vectors of one block of a bucket, about.
 GROUP = 4096
-#: Expected vectors in a bucket from which a second, coarser axis splits it.
-SPLIT = 8192
+QUERIES = 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -37,33 +39,24 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(width)
 
 
-def rotate(x: np.ndarray, table: int, part: int = 0) -> np.ndarray:
+def rotate(x: np.ndarray, table: int) -> np.ndarray:
     """The table's pseudo-rotation of unit vectors; widths are filled up with zeros to a power of two."""
     width = 1 << max(0, (x.shape[1] - 1).bit_length())
     out = np.zeros((len(x), width))
     out[:, : x.shape[1]] = x
-    rng = np.random.default_rng([table, part, width])
+    rng = np.random.default_rng([table, 0, width])
     for _ in range(3):
         out = hadamard(out * rng.choice((-1.0, 1.0), width))
     return out
 
 
-def axes(x: np.ndarray, table: int, probes: int, second: int, every: bool) -> np.ndarray:
-    """Bucket codes of the probes (or fewer) nearest axes of each row, nearest first.
-
-    With second > 0 a bucket is a pair: the signed axis of one rotation, and of another cut to its
-    first `second` coordinates, its side. A row has the nearest side of each axis, or with every all of
-    them: a probed axis is then seen whole, into however many sides its vectors are split."""
+def axes(x: np.ndarray, table: int, probes: int | None) -> np.ndarray:
+    """The signed axes nearest each row, nearest first: as many as probes, all without."""
     y = rotate(x, table)
     near = np.concatenate([y, -y], 1)
-    if not second:
-        top = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-        return top.astype(np.int64)
-    z = rotate(x, table, 1)[:, :second]
-    side = np.concatenate([z, -z], 1)
-    first = np.argsort(-near, axis=1, kind="stable")[:, : max(probes, 1)]
-    sides = np.arange(side.shape[1])[None, :] if every else side.argmax(1)[:, None]
-    return (first[:, :, None] * (2 * second) + sides[:, None, :]).reshape(len(x), -1)
+    if probes == 1:
+        return near.argmax(1)[:, None]
+    return np.argsort(-near, axis=1, kind="stable")[:, :probes]
 
 
 def usable(vector: Column) -> Column:
@@ -84,56 +77,74 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spread(rows: DataFrame, carried: dict[str, str], tables: int, probes: int, second: int, every: bool) -> DataFrame:
-    """Rows (dim, vector and what is carried) once for each table and probe, with their bucket."""
-    names = [*carried]
+def _coded(rows: DataFrame, tables: int, probes: int | None) -> DataFrame:
+    """rows (dim, vector and others) with codes: the buckets of each row, table by table."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.array(batch.column(0))
             for dim in np.unique(dims):
-                for part in (batch.filter(pa.array(dims == dim)),):
-                    for lo in range(0, part.num_rows, 512):
-                        piece = part.slice(lo, 512)
-                        unit = _unit(_matrix(piece.column(1)))
-                        for table in range(tables):
-                            codes = axes(unit, table, probes, second, every)
-                            step = max(1, 16384 // codes.shape[1])
-                            for at in range(0, len(codes), step):
-                                some = codes[at : at + step]
-                                take = pa.array(np.repeat(np.arange(at, at + len(some)), codes.shape[1]))
-                                bucket = pa.array(some.ravel() + (np.int64(table) << 40))
-                                yield pa.RecordBatch.from_arrays([bucket, *(piece.column(k).take(take) for k in range(piece.num_columns))], ["bucket", "dim", "vector", *names])
-
-    schema = "bucket long, dim int, vector array<double>" + "".join(f", {n} {t}" for n, t in carried.items())
-    return map_batches(rows.select("dim", "vector", *names), run, schema)
-
-
-def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, second: int) -> DataFrame:
-    """query_id, vec_id, score: for each query and group of vectors the k nearest of the group."""
-    placed = _spread(index, {"ids": "array<long>"}, tables, 1, second, False)
-    groups = _spread(index, {"ids": "array<long>"}, tables, 1, second, False).groupBy("dim", "bucket").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    placed = placed.join(groups, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
-    probing = _spread(queries, {"query_id": "long"}, tables, probes, second, True).join(groups, ["dim", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    schema = "query_id long, vec_id long, score double"
+                mine = batch.filter(pa.array(dims == dim))
+                for lo in range(0, mine.num_rows, 512):
+                    piece = mine.slice(lo, 512)
+                    unit = _unit(_matrix(piece.column(1)))
+                    codes = np.concatenate([axes(unit, t, probes) + (t << 32) for t in range(tables)], 1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel().astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*names, "codes"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", codes array<long>"
+    return map_batches(rows, run, schema)
+
+
+def _nearest(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    """Number of the query, id and exact distance of the k nearest ids of each query, ties to the smaller id.
+
+    A matrix product finds who can be among them, distances are then taken from the differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, other = (vectors**2).sum(1), (queries**2).sum(1)
+        near = own[:, None] + other - 2 * (vectors @ queries.T)
+        slack = 1e-9 * (own.max() + other)
+        limit = np.partition(near, k - 1, axis=0)[k - 1] + slack if len(vectors) > k else np.full(len(queries), np.inf)
+        open_ = ~(near > limit)  # what is not a number stays
+        for j, query in enumerate(queries):
+            at = np.flatnonzero(open_[:, j])
+            d = np.sqrt(((vectors[at] - query) ** 2).sum(1))
+            for score, i in sorted((float(x), v) for x, r in zip(d, at, strict=True) for v in ids[r])[:k]:
+                yield j, i, score
+
+
+def _search(index: DataFrame, queries: DataFrame, k: int, tables: int, probes: int | None) -> DataFrame:
+    """q1, q2, vec_id, score: for each query vector and block of a bucket the k + 1 nearest ids of the block.
+
+    index: dim, vector, ids, v1, v2; queries: dim, vector, v1, v2."""
+    held = materialise(_coded(index.select("dim", "vector", "ids", "v1"), tables, 1), "held")
+    asked = materialise(_coded(queries.select("dim", "vector", "v1", "v2"), tables, probes), "asked")
+    key = ["dim", "bucket"]
+    count = lambda df, size, name: df.select("dim", F.explode("codes").alias("bucket")).groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = materialise(count(held, GROUP, "parts").join(count(asked, QUERIES, "sides"), key), "blocks")
+    place = lambda n: F.pmod(F.xxhash64("v1"), F.col(n)).cast("int")
+    both = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = held.select("dim", F.explode("codes").alias("bucket"), "vector", "ids", "v1").join(blocks, key).withColumn("part", place("parts")).withColumn("side", both("sides")).select(*key, "part", "side", "vector", "ids")
+    right = asked.select("dim", F.explode("codes").alias("bucket"), "vector", "v1", "v2").join(blocks, key).withColumn("side", place("sides")).withColumn("part", both("parts")).select(*key, "part", "side", "vector", "v1", "v2")
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        q1, q2, ids, scores = [], [], [], []
         if left.num_rows and right.num_rows:
-            vectors, ids = _matrix(left["vector"]), left["ids"].to_pylist()
-            for query, own in zip(_matrix(right["vector"]), right["query_id"].to_pylist(), strict=True):
-                with np.errstate(over="ignore"):
-                    d = np.sqrt(((vectors - query) ** 2).sum(1))
-                limit = np.partition(d, k)[k] if len(d) > k + 1 else np.inf  # one of the k + 1 may be the query itself
-                found = sorted((float(d[i]), v) for i in np.flatnonzero(d <= limit) for v in ids[i] if v != own)[:k]
-                out += [(own, v, s) for s, v in found]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+            r1, r2 = right["v1"].to_pylist(), right["v2"].to_pylist()
+            vectors, owners = _matrix(left["vector"]), left["ids"].to_pylist()
+            points = _matrix(right["vector"])
+            for lo in range(0, len(points), 256):
+                for j, vec, score in _nearest(vectors, owners, points[lo : lo + 256], k + 1):
+                    q1.append(r1[lo + j])
+                    q2.append(r2[lo + j])
+                    ids.append(vec)
+                    scores.append(score)
+        return pa.table({"q1": pa.array(q1, pa.int64()), "q2": pa.array(q2, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     ship(index.sparkSession)
-    keys = ["dim", "bucket", "part"]
-    side = placed.select(*keys, "vector", "ids")
-    return side.groupBy(*keys).cogroup(probing.select(*keys, "vector", "query_id").groupBy(*keys)).applyInArrow(nearest, schema)
+    block = [*key, "part", "side"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(nearest, "q1 long, q2 long, vec_id long, score double")
 
 
 def neighbours(vectors: DataFrame, wanted: Column, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -141,35 +152,34 @@ def neighbours(vectors: DataFrame, wanted: Column, k: int = 10, tables: int = TA
 
     vectors: vec_id, embedding. Rows with a null id and vectors that are null, zero or hold null or
     non-finite components take no part; vectors of another length than the query's are no
-    candidates. Repeated rows count once, and a query never finds its own id. Equal vectors are
-    indexed once, with their k + 1 smallest ids, which is all that a result can show of them. Small
-    inputs are probed more widely, and a query that found fewer than k is run again over all buckets
-    of one table, so it gets all candidates there are.
+    candidates. Repeated rows count once, and a query never finds its own id; an id with several
+    vectors is a query with each of them and is ranked by the nearest. Equal vectors are indexed once,
+    with their k + 1 smallest ids, which is all that a result can show of them, and searched once. A
+    query vector that found no more than k ids is searched again over all buckets of one table, so it
+    gets all candidates there are. An empty table has an empty result, which is a table in the shared folder.
     """
-    rows = (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-        .where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-        .withColumn("dim", F.size("vector"))
-    )
-    order = Window.partitionBy("dim", "vector").orderBy("vec_id")
-    kept = rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1)
-    index = materialise(kept.groupBy("dim", "vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
-    queries = materialise(rows.where(wanted).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id", "vector"]), "queries")
-    sizes = {r["dim"]: r["n"] for r in index.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1000).collect()}
-    if not sizes:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = next(iter(sizes.items()))
-    axes_ = 2 << max(0, (dim - 1).bit_length())
-    second = 0
-    while n > SPLIT * axes_ * 2 * max(second, 0.5) and second < axes_ // 2:
-        second = max(1, second * 2)
-    probes = min(axes_, max(probes, math.ceil(axes_ * 2000 / n)))
-    found = materialise(_search(index, queries, k, tables, probes, second), "found")
-    enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("m")).where(F.col("m") >= k)
-    short = materialise(queries.join(enough, "query_id", "left_anti"), "short")
-    if short.limit(1).count():
-        every = max(2 << max(0, (d - 1).bit_length()) for d in sizes)
-        found = found.unionByName(_search(index, short, k, 1, every, second))
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with scratch(vectors.sparkSession) as block:
+        rows = (
+            vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), wanted.alias("asks"))
+            .where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+            .withColumn("dim", F.size("vector"))
+            .withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.abs(x)).otherwise(x)))  # -0.0 equals 0.0
+            .withColumn("v1", F.xxhash64(F.lit(1), "vector"))
+            .withColumn("v2", F.xxhash64(F.lit(2), "vector"))
+        )
+        order = Window.partitionBy("v1", "v2").orderBy("vec_id")
+        kept = rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1)
+        index = materialise(kept.groupBy("v1", "v2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
+        asking = rows.where("asks")
+        queries = materialise(asking.groupBy("v1", "v2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector")), "queries")
+        found = materialise(_search(index, queries, k, tables, probes), "found")
+        enough = found.groupBy("q1", "q2").agg(F.countDistinct("vec_id").alias("m")).where(F.col("m") > k).select(F.col("q1").alias("v1"), F.col("q2").alias("v2"))
+        short = materialise(queries.join(enough, ["v1", "v2"], "left_anti"), "short")
+        if not short.isEmpty():
+            found = found.unionByName(_search(index, short, k, 1, None))
+        by_vector = Window.partitionBy("q1", "q2").orderBy("score", "vec_id")
+        nearest = found.groupBy("q1", "q2", "vec_id").agg(F.min("score").alias("score")).withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
+        own = asking.select(F.col("vec_id").alias("query_id"), F.col("v1").alias("q1"), F.col("v2").alias("q2")).distinct()
+        best = own.join(nearest, ["q1", "q2"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return block.keep(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")

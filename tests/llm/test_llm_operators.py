@@ -404,20 +404,34 @@ def test_neighbours(spark):
     assert ann.neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_neighbours_do_not_depend_on_the_split(spark, monkeypatch):
-    x = np.random.default_rng(6).normal(size=(8000, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    search, seen = ann._search, []
-    monkeypatch.setattr(ann, "_search", lambda *a: (seen.append(a[-2:]), search(*a))[1])
+def brute_neighbours(x, query, k):
+    d = np.sqrt(((x - x[query]) ** 2).sum(1))
+    return [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != query][:k]
+
+
+def test_neighbours_do_not_depend_on_blocks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(4000, 16)).astype(np.float32)
+    x[1000:1900] = x[3]  # a bucket with a fifth of all vectors, and nine queries that are one vector
+    x[2000:2040] = x[77]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
     found = {}
-    for second, split in ((0, 8192), (4, 32), (8, 16), (16, 8)):
-        monkeypatch.setattr(ann, "SPLIT", split)
-        seen.clear()
-        found[second] = sorted(map(tuple, ann.neighbours(df, F.col("vec_id") % 400 == 0, tables=2).collect()))
-        assert seen == [(8, second)]
-    right = {(q, int(i)) for q in range(0, 8000, 400) for i in np.argsort(((x - x[q]) ** 2).sum(1))[1:11]}
-    print("recall", {s: len(right & {(q, v) for q, _, v, _ in rows}) / len(right) for s, rows in found.items()})
-    assert len(found[0]) == 200 and found[4] == found[8] == found[16] == found[0]
+    for group, queries in ((4096, 2048), (100, 2048), (4096, 3), (64, 5)):
+        monkeypatch.setattr(ann, "GROUP", group)
+        monkeypatch.setattr(ann, "QUERIES", queries)
+        found[group, queries] = sorted(map(tuple, ann.neighbours(df, F.col("vec_id") % 100 == 0, tables=3).collect()))
+    first, *others = found.values()
+    assert len(first) == 400 and all(o == first for o in others)
+    for q in range(1000, 1900, 100):
+        assert [v for a, _, v, s in first if a == q and s == 0] == [i for i in (3, *range(1000, 1012)) if i != q][:10]
+
+
+def test_neighbours_recall_with_fixed_probes(spark):
+    for n, dim, seed in ((600, 64, 1), (3000, 64, 2), (6000, 24, 3)):
+        x = np.random.default_rng(seed).normal(size=(n, dim))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        rows = ann.neighbours(df, F.col("vec_id") % 100 == 0).collect()
+        right = {(q, i) for q in range(0, n, 100) for i in brute_neighbours(x, q, 10)}
+        assert len(right & {(r["query_id"], r["vec_id"]) for r in rows}) >= 0.9 * len(right)
 
 
 def test_hadamard_is_orthogonal():
