@@ -60,44 +60,106 @@ def test_lm_counts_and_base(spark, docs):
     assert {r["train_tokens"] for r in out} == {n} and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
 
 
+def small_vocabulary(n=200, own=150, seed=0):
+    rng = np.random.default_rng(seed)
+    tokens = [f"w{i}".encode() for i in range(n - 1)] + [lm.END]
+    counts = np.sort(rng.integers(1, 500, n))[::-1].astype(np.int64)
+    vocab = lm.Vocabulary(int(counts.sum()), n, tokens, counts, own, np.full(lm.GROUPS, 700.0), np.zeros(0))
+    share = rng.random(vocab.classes)
+    vocab.class_share = share / share.sum()
+    return vocab
+
+
 def test_lm_tail_join_equals_head(spark, docs):
     rows = docs.select("doc_id", "text")
     counts = lm.count_tokens(rows).persist()
     whole, least = lm.vocabulary(counts)
-    small, high = lm.vocabulary(counts, head=40)
-    assert len(small.head) <= 40 < len(whole.head) and high > least
-    own = dict(list(whole.own.items())[:5])  # classes of their own are always in the head
-    model = lm.Model.fresh(whole.class_share)
-    mass = whole.group_mass + 500
+    small, high = lm.vocabulary(counts, head=70)
+    assert len(small.words) <= 70 < len(whole.words) and high > least
+    own = min(5, len(small.words))  # the same tokens have vectors in both
     for v in (whole, small):
-        v.own, v.group_mass, v.class_share = own, mass, whole.class_share
-    assert set(own) <= set(small.head)
-    pick = lambda v, k: sorted((round(r["base_score"], 8), r["n_known"], round(r["score"], 8)) for r in lm.score(rows, counts, v, k, model, {"doc_id": "long"}).collect())
+        v.own, v.group_mass = own, np.full(lm.GROUPS, 900.0)
+        v.class_share = np.full(v.classes, 1 / v.classes)
+    model = lm.Model.fresh(whole)
+    pick = lambda v, k: sorted((round(r["base_score"], 8), r["n_known"], round(r["score"], 6)) for r in lm.score(rows, counts, v, k, model, {"doc_id": "long"}).collect())
     assert pick(whole, least) == pick(small, high)
 
 
+def test_lm_lookup_finds_all_words():
+    vocab = small_vocabulary(3000, 2000)
+    data = [" ".join(w.decode() for w in vocab.words[:-1]).encode() + b" nothing w99999", b"", b"w5  w6\tW7"]
+    offs = np.cumsum([0, *map(len, data)])
+    t = lm.read_tokens(lm.LOWER[np.frombuffer(b"".join(data), np.uint8)], offs, lm.Lookup(vocab))
+    assert t.place.tolist() == [*range(2999), -1, -1, 2999, 2999, 5, 6, 7, 2999] and t.first.tolist() == [0, 3002, 3003, 3007]
+    assert [int(g) for g in t.group[-4:]] == [lm.group_of(w) for w in (b"w5", b"w6", b"w7", lm.END)]
+
+
 def test_lm_probabilities_are_normal():
-    rng = np.random.default_rng(0)
-    share = rng.random(lm.CLASSES)
-    model = lm.Model.fresh(share / share.sum())
-    before = rng.integers(0, lm.CLASSES + 1, (5, lm.CONTEXT))
-    for row in before:
-        p = model.log_probs(np.repeat(row[None], lm.CLASSES, 0), np.arange(lm.CLASSES))
+    vocab = small_vocabulary()
+    model = lm.Model.fresh(vocab)
+    rng = np.random.default_rng(2)
+    place = np.concatenate([np.arange(vocab.own), np.full(lm.GROUPS, -1)])
+    group = np.concatenate([np.zeros(vocab.own, np.int64), np.arange(lm.GROUPS)])
+    classes = lm.class_of(vocab, place, group)
+    for row in rng.integers(0, vocab.own + lm.GROUPS + 1, (5, lm.CONTEXT)):
+        p = model.log_probs(vocab, np.repeat(row[None], len(place), 0), classes, place, block=37)
         assert np.exp(p).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_score_token_by_token(spark, docs, monkeypatch):
+    kept, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda d, v: (kept.append((v, train(d, v))), kept[-1][1])[1])
+    held = docs.where("doc_id < 20").select("doc_id", "text", (F.col("doc_id") % 5 == 2).alias("h"))
+    out = {r["doc_id"]: r["score"] for r in lm.learn_and_score(held, "h", {"doc_id": "long"}).collect()}
+    vocab, model = kept[0]
+    place = {w: i for i, w in enumerate(vocab.words)}
+    context, mixers, target, bias, word, word_bias = (p.astype(np.float64) for p in model.parts())
+    for d, text, *_ in corpus():
+        if d is None or d >= 20:
+            continue
+        before, total = [vocab.own + lm.GROUPS] * lm.CONTEXT, 0.0
+        for w in [*words(text), lm.END]:
+            i = place.get(w, -1)
+            mine = 0 <= i < vocab.own
+            unit = i if mine else vocab.own + lm.group_of(w)
+            first = (i if i < lm.SINGLE else lm.SINGLE + (i - lm.SINGLE) // vocab.width) if mine else lm.SINGLE + vocab.bins + lm.group_of(w)
+            r = sum(context[u] @ mixers[k] for k, u in enumerate(before))
+            energy = target @ r + bias
+            total += energy[first] - np.log(np.exp(energy).sum())
+            if mine and i >= lm.SINGLE:
+                low = lm.SINGLE + (i - lm.SINGLE) // vocab.width * vocab.width
+                inner = word[low : min(low + vocab.width, vocab.own)] @ r + word_bias[low : min(low + vocab.width, vocab.own)]
+                total += inner[i - low] - np.log(np.exp(inner).sum())
+            if not mine:
+                total += math.log(((vocab.counts[i] if i >= 0 else 0) + 1) / vocab.group_mass[lm.group_of(w)])
+            before = [unit, *before[:-1]]
+        assert out[d] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
+def test_lm_weights_do_not_depend_on_partitions(spark, docs):
+    rows = docs.select("doc_id", "text")
+    vocab, _ = lm.vocabulary(lm.count_tokens(rows))
+    a, b = (lm.train(rows.repartition(n), vocab, shard_tokens=1500).flat() for n in (1, 7))
+    assert np.array_equal(a, b) and not np.array_equal(a, lm.Model.fresh(vocab).flat())
+
+
+def test_lm_slices_keep_words():
+    text = (" ".join(WORDS) + "\n").encode() * 40 + b"x" * 500 + b" tail"
+    assert [w for s in lm.slices(text, 100) for w in s.split()] == text.split()
+
+
 def test_nce_learns_order():
-    rng = np.random.default_rng(1)
-    classes = np.tile(np.arange(8), 4000)
-    share = (np.bincount(classes, minlength=lm.CLASSES) + 1.0) / (len(classes) + lm.CLASSES)
-    model = lm.Model.fresh(share)
-    before = lm.contexts(classes, np.array([0, len(classes)]))
-    start = model.log_probs(before[-500:], classes[-500:]).mean()
-    trainer = lm.Trainer(model, share)
-    for lo in range(0, len(classes), 1000):
-        at = rng.permutation(len(classes))[:1000]
-        trainer.step(before[at], classes[at])
-    assert model.log_probs(before[-500:], classes[-500:]).mean() > start + 0.5
+    vocab = small_vocabulary(120, 100)
+    units = np.tile(np.arange(60, 76), 3000)  # single tokens and two bins
+    classes = lm.class_of(vocab, units, np.zeros(len(units), np.int64))
+    model = lm.Model.fresh(vocab)
+    before = lm.contexts(units, np.array([0, len(units)]), vocab.own + lm.GROUPS)
+    start = model.log_probs(vocab, before[-500:], classes[-500:], units[-500:]).mean()
+    trainer, rng = lm.Trainer(model, vocab), np.random.default_rng(1)
+    for _ in range(60):
+        at = rng.permutation(len(units))[:1000]
+        trainer.step(before[at], classes[at], units[at])
+    assert model.log_probs(vocab, before[-500:], classes[-500:], units[-500:]).mean() > start + 1
 
 
 def test_lm_empty_table(spark, docs):
