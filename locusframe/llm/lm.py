@@ -1,7 +1,7 @@
 """Language-model scoring with a class-factored log-bilinear model trained by noise-contrastive estimation.
 
 Token counts over the whole training part give the unigram base. The most frequent tokens, some
-16 * sqrt(distinct tokens) of them, have vectors of their own: the first are classes by themselves,
+OWN * sqrt(distinct tokens) of them, have vectors of their own: the first are classes by themselves,
 the others share classes by frequency. All further tokens fall in classes by their last bytes. The
 model predicts the class of the next token from the vectors of the tokens before it, then the token
 within its class; a token without a vector has its smoothed count share there. Energies are bilinear
@@ -30,10 +30,12 @@ from locusframe.llm.common import LOWER, PrefixHash, map_batches, materialise, m
 from locusframe.shipping import ship
 
 END = b"\n"  # no word can hold it
+#: Tokens with vectors of their own, for each root of the distinct tokens.
+OWN = 6
 SINGLE = 64
-GROUPS = 128
+GROUPS = 64
 DIM = 16
-CONTEXT = 3
+CONTEXT = 2
 HEAD = 1 << 18
 SHARD_TOKENS = 2_000_000
 MAX_SHARDS = 4096
@@ -211,7 +213,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
         floor = r["least"]
     rows = counts.where(F.col("n") >= floor).select("token", "n").toArrow()
     table = sorted(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
-    own = min(len(table), 16 * math.ceil(math.sqrt(sums["distinct"])))
+    own = min(len(table), max(2 * SINGLE, OWN * math.ceil(math.sqrt(sums["distinct"]))))
     vocab = Vocabulary(int(sums["total"]), int(sums["distinct"]), [t for t, _ in table], np.array([n for _, n in table], np.int64), own, np.ones(GROUPS), np.zeros(0))
     first = vocab.classes - GROUPS
     share = np.zeros(vocab.classes)
@@ -283,10 +285,11 @@ class Model:
         turned = np.ascontiguousarray(self.target.T)
 
         def picked(energy: np.ndarray, mine: np.ndarray) -> np.ndarray:
-            energy -= energy.max(1, keepdims=True)
+            if energy.max() > 80 or energy.min() < -80:  # beyond what float32 can add up
+                energy -= energy.max(1, keepdims=True)
             value = energy[np.arange(len(energy)), mine].astype(np.float64)
             np.exp(energy, out=energy)
-            return value - np.log(energy.sum(1, dtype=np.float64))
+            return value - np.log((energy @ np.ones(energy.shape[1], np.float32)).astype(np.float64))
 
         for lo in range(0, len(classes), block):
             energy = seen[lo : lo + block] @ turned
@@ -319,7 +322,7 @@ def contexts(units: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 class Trainer:
     """AdaGrad on the noise-contrastive loss; one set of noise classes serves a mini-batch, noise words are drawn by token."""
 
-    def __init__(self, model: Model, vocab: Vocabulary, noise: int = 24, word_noise: int = 6, rate: float = 0.1, seed: int = 3) -> None:
+    def __init__(self, model: Model, vocab: Vocabulary, noise: int = 48, word_noise: int = 3, rate: float = 0.07, seed: int = 3) -> None:
         self.model, self.vocab, self.rate, self.noise, self.word_noise = model, vocab, np.float32(rate), noise, word_noise
         self.rng = np.random.default_rng(seed)
         self.share = vocab.class_share / vocab.class_share.sum()
@@ -330,20 +333,23 @@ class Trainer:
         self.low, self.high = np.clip(low, 0, vocab.own), np.clip(low + vocab.width, 0, vocab.own)
         self.log_word = np.log(word_noise * smooth / np.maximum(self.sums[self.high] - self.sums[self.low], 1e-9)).astype(np.float32)
         self.squares = [np.full(p.shape, 1e-3, np.float32) for p in model.parts()]
+        self.number = np.zeros(max(map(len, model.parts())), np.int64)
 
     def _move(self, part: int, g: np.ndarray, rows: np.ndarray | slice, n: int) -> None:
         g = np.asarray(g, np.float32) * np.float32(32 / n)
         self.squares[part][rows] += g * g
-        self.model.parts()[part][rows] -= -self.rate * g / np.sqrt(self.squares[part][rows])
-
-    @staticmethod
-    def _sum(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Different rows and the sums of their values."""
-        different, at = np.unique(rows, return_inverse=True)
-        if values.ndim == 1:
-            return different, np.bincount(at, values, len(different))
-        where = (at[:, None] * DIM + np.arange(DIM)).ravel()
-        return different, np.bincount(where, values.ravel(), len(different) * DIM).reshape(-1, DIM)
+        self.model.parts()[part][rows] += self.rate * g / np.sqrt(self.squares[part][rows])
+
+    def _sum(self, rows: np.ndarray, values: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Different rows and the sums of their values, and of more values of one number each."""
+        place = np.arange(len(rows))
+        self.number[rows] = place  # the last of equal rows stays and stands for all
+        different = rows[self.number[rows] == place]
+        self.number[different] = place[: len(different)]
+        at = self.number[rows]
+        order = np.argsort(at.astype(np.uint16) if len(different) < 1 << 16 else at, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(different)))[:-1]))
+        return different, np.add.reduceat(values[order], cuts, axis=0), *(np.add.reduceat(m[order], cuts) for m in more)
 
     def step(self, before: np.ndarray, classes: np.ndarray, place: np.ndarray) -> None:
         m, n = self.model, len(classes)
@@ -351,8 +357,8 @@ class Trainer:
         r = m.predict(before)
         up, down = self._errors(np.einsum("ij,ij->i", r, m.target[classes]) + m.bias[classes] - self.log_noise[classes], r @ m.target[picks].T + (m.bias[picks] - self.log_noise[picks]))
         grad_r = up[:, None] * m.target[classes] + down @ m.target[picks]
-        rows, g = self._sum(np.concatenate([classes, picks]), np.concatenate([up[:, None] * r, down.T @ r]))
-        moves = [(2, g, rows), (3, self._sum(np.concatenate([classes, picks]), np.concatenate([up, down.sum(0)]))[1], rows)]
+        rows, g, b = self._sum(np.concatenate([classes, picks]), np.concatenate([up[:, None] * r, down.T @ r]), np.concatenate([up, down.sum(0)]))
+        moves = [(2, g, rows), (3, b, rows)]
         binned = np.flatnonzero((classes >= SINGLE) & (classes < SINGLE + self.vocab.bins))
         if len(binned):
             mine, seen = place[binned], r[binned]
@@ -362,9 +368,9 @@ class Trainer:
             vectors = m.word[drawn]
             up, down = self._errors(np.einsum("ij,ij->i", seen, m.word[mine]) + m.word_bias[mine] - self.log_word[mine], np.einsum("ij,ikj->ik", seen, vectors) + m.word_bias[drawn] - self.log_word[drawn])
             grad_r[binned] += up[:, None] * m.word[mine] + np.einsum("ik,ikj->ij", down, vectors)
-            words = np.concatenate([mine, drawn.ravel()])
-            rows, g = self._sum(words, np.concatenate([up[:, None] * seen, (down[:, :, None] * seen[:, None]).reshape(-1, DIM)]))
-            moves += [(4, g, rows), (5, self._sum(words, np.concatenate([up, down.ravel()]))[1], rows)]
+            values = np.concatenate([up[:, None] * seen, (down[:, :, None] * seen[:, None]).reshape(-1, DIM)])
+            rows, g, b = self._sum(np.concatenate([mine, drawn.ravel()]), values, np.concatenate([up, down.ravel()]))
+            moves += [(4, g, rows), (5, b, rows)]
         mixers = np.stack([m.context[before[:, i]].T @ grad_r for i in range(CONTEXT)])
         rows, g = self._sum(before.T.ravel(), np.concatenate([grad_r @ m.mixers[i].T for i in range(CONTEXT)]))
         for part, g_, at in [*moves, (0, g, rows), (1, mixers, slice(None))]:
@@ -376,7 +382,7 @@ class Trainer:
         return (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32), (-1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, batch_tokens: int = 2048, shard_tokens: int = SHARD_TOKENS) -> Model:
+def train(docs: DataFrame, vocab: Vocabulary, batch_tokens: int = 4096, shard_tokens: int = SHARD_TOKENS) -> Model:
     """Average, by tokens, of the weights every shard reaches on all its documents.
 
     A document's shard and its place there follow from the hash of its text and other columns; there
@@ -385,10 +391,11 @@ def train(docs: DataFrame, vocab: Vocabulary, batch_tokens: int = 2048, shard_to
     if not vocab.total:
         return start
     shards = min(MAX_SHARDS, math.ceil(vocab.total / shard_tokens))
-    shared = docs.sparkSession.sparkContext.broadcast(vocab.dump())
+    light = Vocabulary(vocab.total, vocab.distinct, vocab.words[: vocab.own], vocab.counts[: vocab.own], vocab.own, vocab.group_mass, vocab.class_share)
+    shared = docs.sparkSession.sparkContext.broadcast(light.dump())
     mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     flow = docs.select(F.pmod(mark, F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), F.col("text").cast("binary").alias("text"))
-    flow = flow.repartition(min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard", "mark") if shards > 1 else flow.repartition(1).sortWithinPartitions("shard", "mark")
+    flow = flow.repartition(shards, "shard").sortWithinPartitions("shard", "mark")
     chunk = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
