@@ -145,22 +145,40 @@ def analyze_ibd_matrix(spark: SparkSession, a: Args) -> None:
         text.write_tsv(df, f"{a.output}.{name}.tsv.gz", overwrite=True)
 
 
-@command("ibd", "selection scan", need("--matrix"), need("--af"), _flag("--af-col", "af"), _flag("--tail", "upper", choices=["upper", "two-sided"]), number("--n-bins", 100), number("--alpha", 0.05), _flag("--fdr-alpha", kind=float), number("--permute", 0), number("--permute-seed", 0), _flag("--output", "ibd_selection"))
+@command("ibd", "selection scan, overall or by group", need("--matrix"), need("--af"), _flag("--af-col", "af"), _flag("--group-af"), _flag("--meta"), _flag("--group-col", "group"), _flag("--group", many=True), _flag("--tail", "upper", choices=["upper", "two-sided"]), number("--n-bins", 100), number("--alpha", 0.05), _flag("--fdr-alpha", kind=float), number("--permute", 0), number("--permute-seed", 0), _flag("--permute-pool", "global", choices=["global", "bin"]), _flag("--output", "ibd_selection"))
 def ibd_selection_statistic(spark: SparkSession, a: Args) -> None:
     cells, pairs, panel = text.load_matrix(spark, a.matrix)
-    n_pairs, n_snps = pairs.count(), panel.count()
-    af = text.read_af_table(spark, a.af, ("snp_id", a.af_col)).withColumnRenamed(a.af_col, "af")
-    counts = ibd.per_snp(cells, panel, n_pairs).join(af, "snp_id", "left")
-    if missing := counts.where("af IS NULL").count():
-        raise SystemExit(f"{missing} SNPs have no allele frequency")
-    scored = selection.scan(counts, n_pairs, n_snps, a.n_bins, a.tail, a.alpha, a.fdr_alpha)
-    if a.permute:
-        null, line = selection.permutation_null(scored, selection.runs(cells), pairs, n_pairs, n_snps, a.permute, a.n_bins, a.alpha, a.permute_seed)
-        scored = scored.join(null, "snp_ix", "left")
-        text.write_tsv(line, f"{a.output}.global.permutation.tsv", overwrite=True)
-    text.write_tsv(scored, f"{a.output}.global.selection_stats.tsv.gz", overwrite=True)
-    text.write_tsv(selection.bin_stats(scored), f"{a.output}.global.bin_stats.tsv.gz", overwrite=True)
-    text.write_tsv(selection.summary(scored, a.alpha), f"{a.output}.global.threshold.txt", overwrite=True)
+    overall = text.read_af_table(spark, a.af, ("snp_id", a.af_col)).withColumnRenamed(a.af_col, "af")
+    tables = text.read_af_table(spark, a.group_af, ("group", "snp_id", a.af_col)).withColumnRenamed(a.af_col, "af") if a.group_af else None
+    n_snps = panel.count()
+    wanted: list[str | None] = [None]
+    if a.meta:
+        meta = _meta(spark, a.meta, a.group_col)
+        wanted = a.group or [r[0] for r in meta.select(a.group_col).distinct().orderBy(a.group_col).collect()]
+    for group in wanted:
+        mine, some = pairs, cells
+        if group is not None:
+            inside = meta.where(F.col(a.group_col) == group).select("sample").distinct()
+            for end in ("sample1", "sample2"):
+                mine = mine.join(inside.withColumnRenamed("sample", end), end, "left_semi")
+            some = cells.join(mine.select("sample1", "sample2"), ["sample1", "sample2"], "left_semi")
+        if (n_pairs := mine.count()) == 0:
+            print(f"{group}: no pairs")
+            continue
+        try:
+            af = selection.group_frequencies(panel.select("snp_id"), tables if group is not None else None, overall, group or "")
+        except ValueError as e:
+            raise SystemExit(str(e)) from e
+        counts = ibd.per_snp(some, panel, n_pairs).join(af, "snp_id")
+        scored = selection.scan(counts, n_pairs, n_snps, a.n_bins, a.tail, a.alpha, a.fdr_alpha)
+        null = selection.permutation_null(scored, selection.runs(some), n_pairs, n_snps, a.permute, a.alpha, a.permute_seed, a.tail) if a.permute else None
+        out, info = selection.assemble(scored, null, a.alpha, a.fdr_alpha, a.tail, a.permute_pool, group)
+        name = f"{a.output}.{group or 'global'}"
+        text.write_tsv(out, f"{name}.selection_stats.tsv.gz", overwrite=True)
+        text.write_tsv(selection.bin_stats(scored), f"{name}.bin_stats.tsv.gz", overwrite=True)
+        text.write_tsv(info, f"{name}.threshold.txt", overwrite=True)
+        if null is not None:
+            text.write_tsv(null.bins, f"{name}.permutation_bins.tsv", overwrite=True)
 
 
 @command("ibd", "shared fraction of every pair, and SNP density", *BLOCKS, need("--snps"), _flag("--snp-format", "vcf"), _flag("--reference", "pf3d7"), _flag("--bp-per-cm", kind=float), _flag("--output", "ibd_frac"))

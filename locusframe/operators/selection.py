@@ -8,20 +8,27 @@ gives every replicate's counts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.stats import CHI2_MEDIAN, benjamini_hochberg, chi2_sf, normal_sf, with_workers
+from locusframe.tables import materialise
+
 
+def raw_statistic(counts: DataFrame, n_pairs: int, n_snps: int, total: Column | None = None) -> DataFrame:
+    """counts: snp_ix, n_pairs_ibd for every SNP, and af. Adds maf and raw_stat, null where af is null, 0 or 1 or beyond.
 
-def raw_statistic(counts: DataFrame, n_pairs: int, n_snps: int, by: list[str] | None = None) -> DataFrame:
-    """counts: snp_ix, n_pairs_ibd for every SNP, and af. Adds maf and raw_stat, null where af is null, 0 or 1 or beyond."""
-    every = Window.partitionBy(*(by or [F.lit(0)]))
+    total: all shared cells, where it is known; else it is summed once and joined back as one row."""
     af = F.col("af")
     valid = af.isNotNull() & (af > 0) & (af < 1)
-    centred = F.col("n_pairs_ibd") - F.sum("n_pairs_ibd").over(every) / F.lit(float(n_snps))
-    return counts.withColumn("maf", F.when(af <= 0.5, af).otherwise(1 - af)).withColumn("raw_stat", F.when(valid, centred / F.sqrt(F.when(valid, F.lit(float(n_pairs)) * af * (1 - af)))))
+    if total is None:
+        counts, total = counts.crossJoin(F.broadcast(counts.agg(F.sum("n_pairs_ibd").alias("_total")))), F.col("_total")
+    centred = F.col("n_pairs_ibd") - total / F.lit(float(n_snps))
+    out = counts.withColumn("maf", F.when(af <= 0.5, af).otherwise(1 - af))
+    return out.withColumn("raw_stat", F.when(valid, centred / F.sqrt(F.when(valid, F.lit(float(n_pairs)) * af * (1 - af))))).drop("_total")
 
 
 def maf_bins(scored: DataFrame, n_bins: int = 100, by: list[str] | None = None) -> DataFrame:
@@ -69,22 +76,77 @@ def genomic_inflation(column: str = "chi2_stat") -> Column:
 def scan(counts: DataFrame, n_pairs: int, n_snps: int, n_bins: int = 100, tail: str = "upper", alpha: float = 0.05, fdr_alpha: float | None = None) -> DataFrame:
     """The whole scan: statistic, bins, z, p, Bonferroni and Benjamini-Hochberg flags."""
     out = p_values(z_scores(maf_bins(raw_statistic(counts, n_pairs, n_snps), n_bins)), tail)
-    out = benjamini_hochberg(out, "pval", "q_value")
-    tests = F.count("chi2_stat").over(Window.partitionBy(F.lit(0)))
-    out = out.withColumn("_line", -F.log10(F.try_divide(F.lit(alpha), tests)))
-    flag = lambda c: F.coalesce(c, F.lit(False))
-    return out.withColumn("significant", flag(F.col("neg_log10_p") >= F.col("_line"))).withColumn("significant_fdr", flag(F.col("q_value") < (alpha if fdr_alpha is None else fdr_alpha))).drop("_line")
+    out = benjamini_hochberg(materialise(out, "scan"), "pval", "q_value")
+    tests = out.agg(F.count("chi2_stat").alias("_tests"))
+    line = -F.log10(F.try_divide(F.lit(alpha), F.col("_tests")))
+    flagged = out.crossJoin(F.broadcast(tests)).withColumn("significant", _flag(F.col("neg_log10_p") >= line))
+    return flagged.withColumn("significant_fdr", _flag(F.col("q_value") < (alpha if fdr_alpha is None else fdr_alpha))).drop("_tests")
+
+
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
 
+def group_frequencies(panel: DataFrame, groups: DataFrame | None, overall: DataFrame, group: str) -> DataFrame:
+    """panel with af for one group: from its rows of groups (group, snp_id, af) if it has any, else the overall ones (snp_id, af).
 
-def summary(scored: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row of thresholds and diagnostics."""
+    A SNP without a frequency is an error in either case: a scan must not lose SNPs silently."""
+    chosen, source = overall.select("snp_id", "af"), "overall"
+    if groups is not None and not (own := groups.where(F.col("group") == group)).isEmpty():
+        chosen, source = own.select("snp_id", "af"), f"group {group}"
+    out = panel.join(chosen.dropDuplicates(["snp_id"]), "snp_id", "left")
+    if missing := out.where("af IS NULL").count():
+        raise ValueError(f"{missing} SNPs have no allele frequency in the {source} table")
+    return out
+
+
+def summary(scored: DataFrame, alpha: float = 0.05, fdr_alpha: float | None = None, tail: str = "upper", null: Null | None = None, pool: str = "global") -> DataFrame:
+    """One row: every threshold on the -log10 p scale, what passes it, and the diagnostics of bins, inflation and permutation.
+
+    Counts that need a permutation are -1 without one, its thresholds null."""
+    fdr = alpha if fdr_alpha is None else fdr_alpha
     used = F.col("chi2_stat").isNotNull()
     by_bin = scored.where(used & (F.col("bin_id") >= 0)).groupBy("bin_id").count().agg(F.count("*").alias("n_bins_used"), F.max("count").alias("_top"))
     one = scored.agg(F.count("chi2_stat").alias("n_tests"), F.count_if("significant").alias("n_significant"), F.count_if("significant_fdr").alias("n_significant_fdr"), genomic_inflation().alias("lambda_gc"))
-    return one.crossJoin(F.broadcast(by_bin)).select(
-        F.lit(alpha).alias("alpha"), "n_tests", (-F.log10(F.try_divide(F.lit(alpha), F.col("n_tests")))).alias("neg_log10_p_threshold"), "n_significant", "n_significant_fdr", "n_bins_used",
-        F.try_divide(F.col("_top").cast("double"), F.col("n_tests")).alias("largest_bin_frac"), "lambda_gc",
+    tests = F.col("n_tests")
+    out = one.crossJoin(F.broadcast(by_bin)).select(
+        F.lit(alpha).alias("alpha"), "n_tests", (-F.log10(F.try_divide(F.lit(alpha), tests))).alias("neg_log10_p_threshold"), "n_significant", F.lit(fdr).alias("fdr_alpha"),
+        F.when(F.col("n_significant_fdr") > 0, -F.log10(F.try_divide(F.col("n_significant_fdr") * fdr, tests))).alias("neg_log10_p_fdr_threshold"), "n_significant_fdr", F.lit(tail).alias("tail"),
+        "n_bins_used", F.try_divide(F.col("_top").cast("double"), tests).alias("largest_bin_frac"), "lambda_gc",
+    )
+    if null is None:
+        nothing, none = F.lit(None).cast("double"), F.lit(-1).cast("long")
+        return out.withColumns({
+            "neg_log10_p_perm_threshold": nothing, "n_significant_perm": none, "neg_log10_p_emp_fdr_threshold": nothing, "n_significant_fdr_perm": none, "n_perm": F.lit(0).cast("long"), "p_empirical_resolution": nothing,
+            "q_empirical_floor": nothing, "frac_q_unreachable": nothing, "empirical_pool": F.lit(""), "perm_bin_tail_min": nothing, "perm_bin_tail_max": nothing,
+        })
+    rates = null.bins.where("rate IS NOT NULL").agg(F.min("rate").alias("perm_bin_tail_min"), F.max("rate").alias("perm_bin_tail_max"))
+    draws = F.col("n_pool") if pool == "global" else F.coalesce("n_stratified", F.lit(0))
+    reach = scored.where(used).crossJoin(F.broadcast(null.line)).crossJoin(F.broadcast(out.select("n_tests")))
+    lowest = reach.withColumn("_floor", F.when(draws > 0, tests / (1.0 + draws)).otherwise(float("inf"))).agg(
+        F.min("_floor").alias("q_empirical_floor"), F.avg((F.col("_floor") > fdr).cast("int")).alias("frac_q_unreachable"),
+        F.min(F.when(F.col("significant_fdr_perm"), F.col("neg_log10_p"))).alias("neg_log10_p_emp_fdr_threshold"), F.count_if("significant_perm").alias("n_significant_perm"), F.count_if("significant_fdr_perm").alias("n_significant_fdr_perm"),
     )
+    shown = null.line.select(F.col("threshold").alias("neg_log10_p_perm_threshold"), "n_perm", (1 / (1 + F.col("n_pool"))).alias("p_empirical_resolution"))
+    return out.crossJoin(F.broadcast(shown)).crossJoin(F.broadcast(lowest)).crossJoin(F.broadcast(rates)).withColumn("empirical_pool", F.lit(pool))
+
+
+def assemble(scored: DataFrame, null: Null | None = None, alpha: float = 0.05, fdr_alpha: float | None = None, tail: str = "upper", pool: str = "global", group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A scan with its permutation columns and q_empirical, and its summary row.
+
+    pool says which empirical p-value drives q_empirical: "global" pools the null over all SNPs, "bin" stays within a MAF bin."""
+    if pool not in ("global", "bin"):
+        raise ValueError("pool must be 'global' or 'bin'")
+    out = scored
+    if null is not None:
+        chosen = "p_empirical" if pool == "global" else "p_empirical_binned"
+        out = out.join(null.values, "snp_ix", "left").crossJoin(F.broadcast(null.line.select(F.col("threshold").alias("_line"))))
+        out = benjamini_hochberg(materialise(out.withColumn("significant_perm", _flag(F.col("neg_log10_p") >= F.col("_line"))).drop("_line"), "assembled"), chosen, "q_empirical")
+        out = out.withColumn("significant_fdr_perm", _flag(F.col("q_empirical") < (alpha if fdr_alpha is None else fdr_alpha)))
+    info = summary(out, alpha, fdr_alpha, tail, null, pool)
+    if group is not None:
+        out, info = out.select(F.lit(group).alias("group"), "*"), info.select(F.lit(group).alias("group"), "*")
+    return out.drop("n_stratified"), info
 
 
 def runs(cells: DataFrame) -> DataFrame:
@@ -94,52 +156,79 @@ def runs(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_island", island).groupBy("sample1", "sample2", "_island").agg(F.min("snp_ix").alias("first"), F.max("snp_ix").alias("last")).drop("_island")
 
 
-def shifted_counts(segments: DataFrame, shifts: DataFrame, n_snps: int) -> DataFrame:
+def shifted_counts(segments: DataFrame, shift: Column, n_perm: int, n_snps: int) -> DataFrame:
     """rep, snp_ix, n_pairs_ibd: sharing counts after every pair's runs moved round by its shift.
 
-    shifts: rep, sample1, sample2, shift. snp_ix runs from 0 to n_snps - 1; a run that passes the end goes on
-    at the start. Runs become +1 and -1 events, summed by place before the prefix sum."""
+    shift: a pair's shift in terms of rep, sample1 and sample2, so only runs are repeated by replicate and
+    nothing is joined. snp_ix runs from 0 to n_snps - 1; a run that passes the end goes on at the start.
+    Runs become +1 and -1 events, summed by place before the prefix sum, which sees one replicate a task."""
     n = F.lit(n_snps)
-    moved = segments.join(shifts, ["sample1", "sample2"]).select("rep", F.pmod(F.col("first") + F.col("shift"), n).alias("a"), (F.col("last") - F.col("first") + 1).alias("w"))
-    events = moved.select(
-        "rep",
-        F.explode(
-            F.when(F.col("a") + F.col("w") <= n, F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct((F.col("a") + F.col("w")).alias("at"), F.lit(-1).alias("d")))).otherwise(
-                F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.lit(0).cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col("a") + F.col("w") - n).alias("at"), F.lit(-1).alias("d")))
-            )
-        ).alias("e"),
-    )
+    reps = F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))
+    moved = segments.withColumn("rep", F.explode(reps)).select("rep", F.pmod(F.col("first") + shift, n).alias("a"), (F.col("last") - F.col("first") + 1).alias("w"))
+    event = lambda at, d: F.struct(at.cast("long").alias("at"), F.lit(d).alias("d"))
+    stop = F.col("a") + F.col("w")
+    around = F.array(event(F.col("a"), 1), event(F.lit(0), 1), event(stop - n, -1))
+    events = moved.select("rep", F.explode(F.when(stop <= n, F.array(event(F.col("a"), 1), event(stop, -1))).otherwise(around)).alias("e"))
     by_place = events.select("rep", F.col("e.at").alias("snp_ix"), F.col("e.d").alias("d")).where(F.col("snp_ix") < n).groupBy("rep", "snp_ix").agg(F.sum("d").alias("d"))
-    spine = shifts.select("rep").distinct().select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_snps - 1).cast("long"))).alias("snp_ix"))
+    spine = segments.sparkSession.range(n_perm).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_snps - 1).cast("long"))).alias("snp_ix"))
     order = Window.partitionBy("rep").orderBy("snp_ix").rowsBetween(Window.unboundedPreceding, 0)
     return spine.join(by_place, ["rep", "snp_ix"], "left").select("rep", "snp_ix", F.sum(F.coalesce("d", F.lit(0))).over(order).alias("n_pairs_ibd"))
 
 
-def draw_shifts(pairs: DataFrame, n_perm: int, n_snps: int, seed: int = 0) -> DataFrame:
-    """Uniform shifts in [0, n_snps) by hash of replicate, pair and seed, so that a rerun draws the same."""
-    reps = pairs.sparkSession.range(n_perm).select(F.col("id").alias("rep"))
-    return F.broadcast(reps).crossJoin(pairs.select("sample1", "sample2")).withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "rep", "sample1", "sample2"), F.lit(n_snps)))
+def drawn_shift(n_snps: int, seed: int = 0) -> Column:
+    """Uniform in [0, n_snps) by hash of seed, replicate and pair, so that a rerun draws the same."""
+    return F.pmod(F.xxhash64(F.lit(seed), "rep", "sample1", "sample2"), F.lit(n_snps))
+
+
+def exceedances(null: DataFrame, seen: DataFrame, keys: list[str], ranges: int = 128) -> DataFrame:
+    """seen (snp_ix, keys, score) with k, the null scores of its keys that reach its own, and n, all of them.
+
+    Scores are dealt to ranges by quantiles of what was seen; a range is ranked in a task of its own and
+    the counts of the ranges above it are added, so no task sees the whole null."""
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    edges = F.broadcast(seen.agg(F.percentile("score", steps).alias("_edges")))
+    at = F.size(F.filter("_edges", lambda e: e <= F.col("score"))).alias("_range")
+    own = null.crossJoin(edges).select(*keys, "score", at, F.lit(None).cast("long").alias("snp_ix"))
+    other = seen.crossJoin(edges).select(*keys, "score", at, "snp_ix")
+    ranked = own.unionByName(other).withColumn("_k", F.count(F.when(F.col("snp_ix").isNull(), 1)).over(Window.partitionBy(*keys, "_range").orderBy(F.desc("score"))))
+    sizes = own.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    spine = seen.select(*keys).distinct() if keys else seen.sparkSession.range(1).select()
+    every = spine.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(ranges))).alias("_range")).join(sizes, [*keys, "_range"], "left").na.fill(0, ["_size"])
+    part = Window.partitionBy(*(keys or [F.lit(0)]))  # one row a range
+    above = every.select(*keys, "_range", (F.sum("_size").over(part.orderBy(F.desc("_range"))) - F.col("_size")).alias("_above"), F.sum("_size").over(part).alias("n"))
+    return ranked.where("snp_ix IS NOT NULL").join(above, [*keys, "_range"]).select("snp_ix", (F.col("_k") + F.col("_above")).alias("k"), "n")
+
+
+@dataclass(frozen=True)
+class Null:
+    """values: snp_ix, p_pointwise, p_empirical, p_empirical_binned, n_stratified; line: one row with threshold, n_perm and n_pool;
+    bins: bin_id, n and rate, the share of the bin's null scores above the 99th percentile of the first replicate (null below 1000)."""
+
+    values: DataFrame
+    line: DataFrame
+    bins: DataFrame
 
 
-def permutation_null(observed: DataFrame, segments: DataFrame, pairs: DataFrame, n_pairs: int, n_snps: int, n_perm: int, n_bins: int = 100, alpha: float = 0.05, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Per-SNP p_pointwise, p_empirical and p_empirical_binned, and a row with the threshold of the maxima.
+def permutation_null(observed: DataFrame, segments: DataFrame, n_pairs: int, n_snps: int, n_perm: int, alpha: float = 0.05, seed: int = 0, tail: str = "upper") -> Null:
+    """Empirical p-values of a scan and the threshold of the replicates' maxima, on the -log10 p scale.
 
-    Each replicate is binned like the observed scan, its z are taken within bins, and exceedances count ties.
-    Ranks against the pooled null come from one window over null and observed scores together."""
+    Each replicate keeps the bins of the observed scan, its z are taken within bins, and exceedances count
+    ties. Shifts keep the number of shared cells, so the centring needs no pass over a replicate. The
+    threshold is the 1 - alpha quantile of the replicates' best -log10 p; p-values have the form (1 + k) / (1 + n)."""
+    score = F.col("z_score") if tail == "upper" else F.abs("z_score")
     af = observed.select("snp_ix", "af", "maf", "bin_id")
-    shifted = shifted_counts(segments, draw_shifts(pairs, n_perm, n_snps, seed), n_snps).join(F.broadcast(af), "snp_ix")
-    null = z_scores(raw_statistic(shifted, n_pairs, n_snps, by=["rep"]), by=["rep"]).where("z_score IS NOT NULL").select("rep", "snp_ix", "bin_id", "z_score")
-    seen = observed.where("z_score IS NOT NULL").select("snp_ix", "bin_id", F.col("z_score").alias("z_obs"))
-    point = null.join(seen, ["snp_ix", "bin_id"]).groupBy("snp_ix").agg(F.count_if(F.col("z_score") >= F.col("z_obs")).alias("_k"), F.count("*").alias("_n"))
-
-    def exceedances(keys: list[str], name: str) -> DataFrame:
-        both = null.select("bin_id", F.lit(None).cast("long").alias("snp_ix"), F.col("z_score").alias("z")).unionByName(seen.select("bin_id", "snp_ix", F.col("z_obs").alias("z")))
-        order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("z"))
-        own = F.when(F.col("snp_ix").isNull(), 1)
-        counted = both.withColumn("_k", F.count(own).over(order)).withColumn("_n", F.count(own).over(Window.partitionBy(*(keys or [F.lit(0)]))))
-        return counted.where("snp_ix IS NOT NULL").select("snp_ix", ((1 + F.col("_k")) / (1 + F.col("_n"))).alias(name))
-
-    p = point.select("snp_ix", ((1 + F.col("_k")) / (1 + F.col("_n"))).alias("p_pointwise"))
-    out = p.join(exceedances([], "p_empirical"), "snp_ix").join(exceedances(["bin_id"], "p_empirical_binned"), "snp_ix")
-    maxima = null.groupBy("rep").agg(F.max("z_score").alias("z")).agg(F.percentile("z", F.lit(1 - alpha)).alias("z_threshold"), F.count("*").alias("n_perm"))
-    return out, maxima
+    cells = segments.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    shifted = shifted_counts(segments, drawn_shift(n_snps, seed), n_perm, n_snps).join(af, "snp_ix")
+    scored = z_scores(raw_statistic(shifted, n_pairs, n_snps, F.lit(float(cells))), by=["rep"])
+    null = materialise(scored.where("z_score IS NOT NULL").select("rep", "snp_ix", "bin_id", score.alias("score"), "z_score", "chi2_stat"), "null")
+    seen = materialise(observed.where("z_score IS NOT NULL").select("snp_ix", "bin_id", score.alias("score")), "seen")
+    p = ((1 + F.col("k")) / (1 + F.col("n"))).alias
+    point = null.join(seen.withColumnRenamed("score", "_seen"), ["snp_ix", "bin_id"]).groupBy("snp_ix").agg(F.count_if(F.col("score") >= F.col("_seen")).alias("k"))
+    pointwise = seen.select("snp_ix").join(point, "snp_ix", "left").select("snp_ix", ((1 + F.coalesce("k", F.lit(0))) / F.lit(1 + n_perm)).alias("p_pointwise"))
+    binned = exceedances(null, seen, ["bin_id"]).select("snp_ix", F.when(F.col("n") > 0, (1 + F.col("k")) / (1 + F.col("n"))).alias("p_empirical_binned"), F.col("n").alias("n_stratified"))
+    values = pointwise.join(exceedances(null, seen, []).select("snp_ix", p("p_empirical")), "snp_ix").join(binned, "snp_ix")
+    best = null.groupBy("rep").agg(F.max_by(F.struct("z_score", "chi2_stat"), "score").alias("top")).select("top.*")
+    line = p_values(best, tail).agg(F.percentile("neg_log10_p", F.lit(1 - alpha)).alias("threshold"), F.lit(n_perm).cast("long").alias("n_perm")).crossJoin(F.broadcast(null.agg(F.count("*").alias("n_pool"))))
+    reference = null.where("rep = 0").agg(F.percentile("score", F.lit(0.99)).alias("_ref"))
+    bins = null.crossJoin(F.broadcast(reference)).groupBy("bin_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("_ref")).alias("_high"))
+    return Null(values, line, bins.select("bin_id", "n", F.when(F.col("n") >= 1000, F.col("_high") / F.col("n")).alias("rate")))

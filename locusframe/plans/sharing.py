@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.coords import BP_PER_CM, PF3D7_LENGTHS
 from locusframe.functions.stats import benjamini_hochberg
 from locusframe.operators import ibd, selection
 from locusframe.plans.adapters import ctes, view
+from locusframe.tables import materialise
 
 ACCESSIBLE = 20_000_000.0
 
@@ -111,7 +112,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
     panel, pairs = view(spark, sf_dir, "v_panel"), ibd.pair_index(_blocks(spark, sf_dir))
     n_pairs, n_snps = _size(pairs), _size(panel)
     counts = ibd.per_snp(_cells(spark, sf_dir), panel, n_pairs).select("snp_ix", "n_pairs_ibd", (F.pmod(F.col("snp_ix") * 7, F.lit(64)) / F.lit(64.0)).alias("af"))
-    return counts, n_pairs, n_snps
+    return materialise(counts, "counts"), n_pairs, n_snps  # one row a SNP, read by every later step
 
 
 def xirs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +141,26 @@ def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xirs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.scan(*_counts(spark, sf_dir), n_bins=10)
+    """The whole scan with its flags."""
+    out = selection.scan(*_counts(spark, sf_dir), n_bins=10)
+    return _round(out, "maf", "raw_stat", "z_score").select(
+        "snp_ix", "n_pairs_ibd", "maf", "bin_id", "raw_stat", "z_score", F.round("pval", 6).alias("pval"), F.round("neg_log10_p", 6).alias("neg_log10_p"), F.round("q_value", 6).alias("q_value"), "direction", "significant", "significant_fdr"
+    )
 
 
 def xirs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.summary(xirs_full(spark, sf_dir))
+    one = selection.summary(selection.scan(*_counts(spark, sf_dir), n_bins=10))
+    rounded = [F.round(c, 5).alias(c) for c in ("neg_log10_p_threshold", "neg_log10_p_fdr_threshold", "largest_bin_frac", "lambda_gc")]
+    return one.select("alpha", "n_tests", *rounded, "n_significant", "n_significant_fdr", "n_bins_used", "n_perm", "n_significant_perm")
+
+
+def group_scan_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies for three groups: g0 and g1 have rows of their own, g2 falls back to the overall ones."""
+    panel = view(spark, sf_dir, "v_panel").select("snp_ix", F.concat_ws(":", "chrom", "pos0").alias("snp_id"))
+    overall = panel.select("snp_id", (F.pmod(F.col("snp_ix") * 7, F.lit(64)) / F.lit(64.0)).alias("af"))
+    groups = panel.crossJoin(spark.range(2)).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("group"), "snp_id", (F.pmod(F.col("snp_ix") * (F.col("id") + 3), F.lit(32)) / F.lit(32.0)).alias("af"))
+    parts = [selection.group_frequencies(panel, groups, overall, g).select(F.lit(g).alias("group"), "snp_ix", "af") for g in ("g0", "g1", "g2")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _ranked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,29 +170,44 @@ def _ranked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).withColumnRenamed("snp_ix", "_old").join(numbered, "_old").select("sample1", "sample2", "snp_ix")
 
 
+def _fixed_shift(n: int) -> Column:
+    number = lambda c: F.substring(c, 2, 9).cast("long")
+    return F.pmod(F.col("rep") * 7919 + number("sample1") * 613 + number("sample2") * 37, F.lit(n))
+
+
 def perm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts after shifts fixed by arithmetic on replicate and sample numbers."""
-    pairs, n = ibd.pair_index(_blocks(spark, sf_dir)), _size(view(spark, sf_dir, "v_panel"))
-    number = lambda c: F.substring(c, 2, 9).cast("long")
-    shifts = spark.range(3).select(F.col("id").alias("rep")).crossJoin(pairs).withColumn("shift", F.pmod(F.col("rep") * 7919 + number("sample1") * 613 + number("sample2") * 37, F.lit(n)))
-    return selection.shifted_counts(selection.runs(_ranked_cells(spark, sf_dir)), shifts, n)
+    n = _size(view(spark, sf_dir, "v_panel"))
+    return selection.shifted_counts(selection.runs(_ranked_cells(spark, sf_dir)), _fixed_shift(n), 3, n)
 
 
 def perm_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel, pairs = view(spark, sf_dir, "v_panel"), ibd.pair_index(_blocks(spark, sf_dir))
     n_pairs, n_snps = _size(pairs), _size(panel)
-    cells = _ranked_cells(spark, sf_dir)
+    cells = materialise(_ranked_cells(spark, sf_dir), "cells")
     spine = spark.range(n_snps).select(F.col("id").alias("snp_ix"), (F.pmod(F.col("id") * 7, F.lit(64)) / F.lit(64.0)).alias("af"))
     counts = spine.join(cells.groupBy("snp_ix").agg(F.count("*").alias("n_pairs_ibd")), "snp_ix", "left").na.fill(0, ["n_pairs_ibd"])
-    observed = selection.z_scores(selection.maf_bins(selection.raw_statistic(counts, n_pairs, n_snps), 10))
-    return selection.permutation_null(observed, selection.runs(cells), pairs, n_pairs, n_snps, n_perm=20, n_bins=10)[0]
+    scored = materialise(selection.scan(counts, n_pairs, n_snps, 10), "scored")
+    null = selection.permutation_null(scored, selection.runs(cells), n_pairs, n_snps, n_perm=20)
+    return selection.assemble(scored, null)[0]
+
+
+def exceedance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null scores that reach a SNP's own, within its bin and over all, by arithmetic scores."""
+    panel = view(spark, sf_dir, "v_panel")
+    score = lambda k, m: F.pmod(F.col("snp_ix") * k + F.col("rep") * 31, F.lit(m)).cast("double")
+    bin_id = F.pmod("snp_ix", F.lit(5)).alias("bin_id")
+    null = panel.crossJoin(spark.range(4).select(F.col("id").alias("rep"))).select(bin_id, score(7919, 1009).alias("score"))
+    seen = panel.withColumn("rep", F.lit(9)).select("snp_ix", bin_id, score(104729, 1013).alias("score"))
+    inside = selection.exceedances(null, seen, ["bin_id"]).toDF("snp_ix", "k_bin", "n_bin")
+    return inside.join(selection.exceedances(null, seen, []), "snp_ix")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         ibd_block_filter, ibd_pairs, ibd_cells, ibd_per_pair, ibd_per_snp, ibd_per_snp_group, ibd_per_snp_group_pairs, ibd_within_between, ibd_pairwise_group, ibd_per_chr, callable_spans, ibd_fraction,
-        snp_density, gene_overlap, gene_pairs, gene_clusters, xirs_raw, xirs_bins, xirs_zscore, lambda_gc, bh_qvalues, xirs_full, xirs_summary, perm_counts, perm_null,
+        snp_density, gene_overlap, gene_pairs, gene_clusters, xirs_raw, xirs_bins, xirs_zscore, lambda_gc, bh_qvalues, xirs_full, xirs_summary, group_scan_frequencies, perm_counts, exceedance_counts, perm_null,
     )
 }
 
@@ -199,6 +230,14 @@ _Z = f"""{_XIRS}, e AS (SELECT quantile_cont(maf, {_EDGES}) AS q FROM raw WHERE
 b AS (SELECT raw.*, CASE WHEN raw IS NULL THEN -1 ELSE len(list_filter(list_transform(q, lambda x, i: CASE WHEN i = 11 THEN x + 1e-9::DOUBLE ELSE x END), lambda x: x <= maf)) - 1 END AS bin_id FROM raw, e),
 bs AS (SELECT bin_id, count(*) AS n_snps, avg(raw) AS mean, stddev_samp(raw) AS sd FROM b WHERE bin_id >= 0 GROUP BY bin_id HAVING count(*) >= 2 AND stddev_samp(raw) > 0),
 z AS (SELECT snp_ix, bin_id, (raw - mean) / sd AS z FROM b LEFT JOIN bs USING (bin_id))"""
+#: Upper tail of the normal distribution: a series of positive terms below 2.5 root 2, a continued fraction beyond.
+_TAIL = """e0 AS (SELECT z.*, abs(z) / sqrt(2.0::DOUBLE) AS x FROM z),
+e1 AS (SELECT *, CASE WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * x * list_reduce([1.0::DOUBLE] || range(90, -1, -1)::DOUBLE[], lambda a, n: 1 + 2 * x * x / (2 * n + 3) * a)
+  ELSE exp(-x * x) / (x * sqrt(pi())) / list_reduce([1.0::DOUBLE] || range(200, 0, -1)::DOUBLE[], lambda a, k: 1 + k / (2 * x * x) / a) END AS erfc FROM e0),
+pv AS (SELECT e1.* EXCLUDE (x, erfc), CASE WHEN z >= 0 THEN erfc / 2 ELSE 1 - erfc / 2 END AS p FROM e1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY p IS NOT NULL ORDER BY p) AS k, count(*) OVER (PARTITION BY p IS NOT NULL) AS m FROM pv),
+sc AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / k) OVER (PARTITION BY p IS NOT NULL ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM rk),
+fl AS (SELECT *, coalesce(p > 0 AND p <= 0.05::DOUBLE / m, false) AS significant, coalesce(q < 0.05::DOUBLE, false) AS significant_fdr FROM sc)"""
 _HITS = f"""hits AS (
   SELECT sample1, sample2, u.chr, u.start AS block_start, u.fin AS block_end, g.name AS gene, g.gene_id, g.start AS gene_start, g."end" AS gene_end FROM {{used}} u JOIN v_genes g ON u.chr = g.chr AND u.start < g."end" + {{pad}} AND u.fin > g.start - {{pad}}
 )"""
@@ -241,6 +280,18 @@ SELECT gene_id, node AS sample, id AS gene_cluster_id, n AS gene_cluster_size FR
     "xirs_raw": f"{_XIRS} SELECT snp_ix, n AS n_pairs_ibd, round(maf, 6) AS maf, round(raw, 6) AS raw_stat FROM raw",
     "xirs_bins": f"{_Z} SELECT bin_id, n_snps, round(mean, 6) AS mean, round(sd, 6) AS sd FROM bs",
     "xirs_zscore": f"{_Z} SELECT snp_ix, bin_id, round(z, 6) AS z_score, round(z * z, 6) AS chi2_stat FROM z",
+    "xirs_full": f"""{_Z}, {_TAIL} SELECT snp_ix, n AS n_pairs_ibd, round(maf, 6) AS maf, bin_id, round(raw, 6) AS raw_stat, round(z, 6) AS z_score, round(p, 6) AS pval, CASE WHEN p > 0 THEN round(-log10(p), 6) END AS neg_log10_p,
+  round(q, 6) AS q_value, CASE WHEN z IS NULL THEN '' WHEN z >= 0 THEN 'excess' ELSE 'deficit' END AS direction, significant, significant_fdr FROM fl JOIN raw USING (snp_ix)""",
+    "xirs_summary": f"""{_Z}, {_TAIL}, u AS (SELECT count(z) AS t, count(*) FILTER (significant) AS s, count(*) FILTER (significant_fdr) AS f, median(z * z) / 0.45493642311957::DOUBLE AS l FROM fl),
+w AS (SELECT count(*) AS nb, max(c) AS top FROM (SELECT count(*) AS c FROM fl WHERE z IS NOT NULL AND bin_id >= 0 GROUP BY bin_id))
+SELECT 0.05::DOUBLE AS alpha, t AS n_tests, round(-log10(0.05::DOUBLE / t), 5) AS neg_log10_p_threshold, CASE WHEN f > 0 THEN round(-log10(f * 0.05::DOUBLE / t), 5) END AS neg_log10_p_fdr_threshold, round(top / t::DOUBLE, 5) AS largest_bin_frac,
+  round(l, 5) AS lambda_gc, s AS n_significant, f AS n_significant_fdr, nb AS n_bins_used, 0::BIGINT AS n_perm, -1::BIGINT AS n_significant_perm FROM u, w""",
+    "group_scan_frequencies": f"""{ctes("v_panel")} SELECT 'g' || CAST(i AS VARCHAR) AS "group", snp_ix, CASE WHEN i < 2 THEN ((snp_ix * (i + 3)) % 32) / 32.0::DOUBLE ELSE ((snp_ix * 7) % 64) / 64.0::DOUBLE END AS af FROM v_panel CROSS JOIN (SELECT unnest(range(3)) AS i)""",
+    "exceedance_counts": f"""{ctes("v_panel")}, nu AS (SELECT snp_ix % 5 AS b, CAST((snp_ix * 7919 + rep * 31) % 1009 AS DOUBLE) AS s FROM v_panel CROSS JOIN (SELECT unnest(range(4)) AS rep)),
+ob AS (SELECT snp_ix, snp_ix % 5 AS b, CAST((snp_ix * 104729 + 9 * 31) % 1013 AS DOUBLE) AS s FROM v_panel),
+al AS (SELECT snp_ix, b, s FROM ob UNION ALL SELECT NULL, b, s FROM nu),
+kk AS (SELECT snp_ix, count(*) FILTER (snp_ix IS NULL) OVER (PARTITION BY b ORDER BY s DESC) AS k_bin, count(*) FILTER (snp_ix IS NULL) OVER (PARTITION BY b) AS n_bin,
+  count(*) FILTER (snp_ix IS NULL) OVER (ORDER BY s DESC) AS k, count(*) FILTER (snp_ix IS NULL) OVER () AS n FROM al) SELECT * FROM kk WHERE snp_ix IS NOT NULL""",
     "lambda_gc": f"{_Z} SELECT round(median(z * z) / 0.45493642311957::DOUBLE, 5) AS lambda_gc FROM z",
     "bh_qvalues": f"""{ctes("v_panel")}, p AS (SELECT snp_ix, CASE WHEN snp_ix % 10 <> 0 THEN (snp_ix * 7919) % 1009 / 1009.0::DOUBLE * (snp_ix % 13) / 13.0::DOUBLE END AS p FROM v_panel),
 r AS (SELECT *, row_number() OVER (PARTITION BY p IS NOT NULL ORDER BY p) AS k, count(*) OVER (PARTITION BY p IS NOT NULL) AS m FROM p)

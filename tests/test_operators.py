@@ -1,5 +1,8 @@
 """Hand-computed cases of the operators."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,8 +189,8 @@ def test_invalid_frequencies_have_no_statistic(spark):
 
 def test_shifts_keep_totals(spark):
     cells = spark.createDataFrame([("a", "b", i) for i in (0, 1, 2, 7, 9)] + [("a", "c", i) for i in (8, 9)], "sample1 string, sample2 string, snp_ix long")
-    shifts = spark.createDataFrame([(r, s1, s2, k) for r, k1, k2 in ((0, 3, 5), (1, 0, 9)) for s1, s2, k in (("a", "b", k1), ("a", "c", k2))], "rep long, sample1 string, sample2 string, shift long")
-    got = {(r["rep"], r["snp_ix"]): r["n_pairs_ibd"] for r in selection.shifted_counts(selection.runs(cells), shifts, 10).collect()}
+    shift = F.when(F.col("sample2") == "b", F.when(F.col("rep") == 0, 3).otherwise(0)).otherwise(F.when(F.col("rep") == 0, 5).otherwise(9))
+    got = {(r["rep"], r["snp_ix"]): r["n_pairs_ibd"] for r in selection.shifted_counts(selection.runs(cells), shift, 2, 10).collect()}
     for rep, k1, k2 in ((0, 3, 5), (1, 0, 9)):
         want = [0] * 10
         for i in (0, 1, 2, 7, 9):
@@ -197,6 +200,49 @@ def test_shifts_keep_totals(spark):
         assert [got[rep, j] for j in range(10)] == want
 
 
+def test_permutation_null_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    n_snps, n_perm, names = 240, 6, [(f"a{i}", f"b{i}") for i in range(30)]
+    on = rng.random((30, n_snps)) < 0.3
+    cells = spark.createDataFrame([(*names[i], int(j)) for i, j in zip(*np.nonzero(on), strict=True)], "sample1 string, sample2 string, snp_ix long")
+    af = (np.arange(n_snps) % 16 + 1) / 33
+    counts = spark.createDataFrame([(j, int(on[:, j].sum()), float(af[j])) for j in range(n_snps)], "snp_ix long, n_pairs_ibd long, af double")
+    scored = selection.scan(counts, 30, n_snps, n_bins=4)
+    null = selection.permutation_null(scored, selection.runs(cells), 30, n_snps, n_perm)
+    out, info = selection.assemble(scored, null, pool="bin", group="x")
+    pairs = spark.createDataFrame(names, "sample1 string, sample2 string").crossJoin(spark.range(n_perm).withColumnRenamed("id", "rep")).withColumn("k", selection.drawn_shift(n_snps)).collect()
+    shift = {(r["rep"], r["sample1"]): r["k"] for r in pairs}
+    rows = {r["snp_ix"]: r for r in out.collect()}
+    bins = np.array([rows[j]["bin_id"] for j in range(n_snps)])
+
+    def z(mat):
+        raw = (mat.sum(0) - mat.sum() / n_snps) / np.sqrt(30 * af * (1 - af))
+        return np.array([(raw[j] - raw[bins == bins[j]].mean()) / raw[bins == bins[j]].std(ddof=1) for j in range(n_snps)])
+
+    seen = z(on)
+    drawn = np.array([z(np.stack([np.roll(on[i], shift[r, names[i][0]]) for i in range(30)])) for r in range(n_perm)])
+    for j in range(n_snps):
+        r, mine = rows[j], drawn[:, bins == bins[j]]
+        assert r["z_score"] == pytest.approx(seen[j]) and r["group"] == "x"
+        assert r["p_pointwise"] == pytest.approx((1 + (drawn[:, j] >= seen[j] - 1e-9).sum()) / (1 + n_perm))
+        assert r["p_empirical"] == pytest.approx((1 + (drawn >= seen[j] - 1e-9).sum()) / (1 + drawn.size))
+        assert r["p_empirical_binned"] == pytest.approx((1 + (mine >= seen[j] - 1e-9).sum()) / (1 + mine.size))
+    best = [-math.log10(math.erfc(t / math.sqrt(2)) / 2) for t in drawn.max(1)]
+    one = info.collect()[0]
+    assert one["neg_log10_p_perm_threshold"] == pytest.approx(np.quantile(best, 0.95)) and one["n_perm"] == n_perm and one["p_empirical_resolution"] == pytest.approx(1 / (1 + drawn.size))
+    assert one["empirical_pool"] == "bin" and one["q_empirical_floor"] == pytest.approx(min(n_snps / (1 + drawn[:, bins == b].size) for b in set(bins)))
+
+
+def test_group_frequencies_fall_back_and_refuse_gaps(spark):
+    panel = spark.createDataFrame([("a",), ("b",)], "snp_id string")
+    overall = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "snp_id string, af double")
+    groups = spark.createDataFrame([("g", "a", 0.5), ("g", "b", 0.6), ("h", "a", 0.7)], "group string, snp_id string, af double")
+    pick = lambda g: {r["snp_id"]: r["af"] for r in selection.group_frequencies(panel, groups, overall, g).collect()}
+    assert pick("g") == {"a": 0.5, "b": 0.6} and pick("other") == {"a": 0.1, "b": 0.2}
+    with pytest.raises(ValueError, match="1 SNPs"):
+        pick("h")
+
+
 def test_singletons(spark):
     rows = ["1000", "0100", "1100", "1111", "0000", "1000"]
     cells = spark.createDataFrame([(i, s, k, row[k] == "1", False, 50) for i, row in enumerate(rows) for k, s in enumerate("abcd")], "site int, sample string, sample_ix int, alt boolean, missing boolean, depth int")
