@@ -40,9 +40,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {lineitem} WHERE l_suppkey % 24 <> l_partkey % 24"""),
     "v_panel": ((), "SELECT concat('chr', CAST(p_partkey % 14 + 1 AS STRING)) AS chrom, p_partkey * 500 AS pos0, p_partkey AS snp_ix FROM {part}"),
     "v_genes": ((), """
-        SELECT p_brand AS name, p_partkey AS gene_id, concat('chr', CAST(p_partkey % 14 + 1 AS STRING)) AS chr, (p_partkey * 7919) % 900000 AS start,
-          (p_partkey * 7919) % 900000 + p_size * 1000 AS {q}end{q}
-        FROM {part} WHERE p_partkey % 50 = 0"""),
+        SELECT p_brand AS name, p_partkey AS gene_id, concat('chr', CAST(p_partkey % 14 + 1 AS STRING)) AS chr, (p_partkey * 7919) % 9000000 AS start,
+          (p_partkey * 7919) % 9000000 + p_size * 1000 AS {q}end{q}
+        FROM {part}"""),
     "v_strand": ((), """
         SELECT l_partkey AS site, concat('chr', CAST(l_partkey % 14 + 1 AS STRING)) AS chrom, l_partkey * 500 AS pos0, concat('s', CAST(l_suppkey % 24 AS STRING)) AS sample,
           CAST(sum(CASE WHEN l_returnflag <> 'R' AND l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS ref_fwd,

@@ -57,7 +57,7 @@ def gc_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = depth_cells(spark, sf_dir).where("site % 14 < 3")
+    cells = depth_cells(spark, sf_dir)
     return cells.select("grp", "chrom", "pos0", "sample", ld.dosage(F.col("gt"), het="dosage").alias("d"))
 
 
@@ -116,7 +116,7 @@ vd AS (SELECT *, coalesce(least(vf, vr) / nullif(greatest(vf, vr), 0), 1.0) AS r
 ve AS (SELECT *, (ratio < 0.15::DOUBLE AND minor >= 20) OR phred > 60 AS dropped FROM vd)"""
 _SEQ = "WITH sq AS (SELECT p_partkey AS name, p_partkey * 100 AS start, translate(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 32), '0123456789abcdef', 'ACGTGGCCATGCGCGA') AS seq FROM part)"
 _LD = f"""{ctes("v_ad")}, {GT}, ds AS (
-  SELECT grp, chrom, pos0, sample, CASE WHEN a0 IS NULL THEN NULL WHEN a1 = 0 THEN 0 WHEN a0 > 0 THEN 2 ELSE 1 END AS d FROM v_gt WHERE site % 14 < 3
+  SELECT grp, chrom, pos0, sample, CASE WHEN a0 IS NULL THEN NULL WHEN a1 = 0 THEN 0 WHEN a0 > 0 THEN 2 ELSE 1 END AS d FROM v_gt
 ), sm AS (SELECT grp, chrom, pos0, least(sum(d) / nullif(2.0 * count(d), 0)::DOUBLE, 1 - sum(d) / nullif(2.0 * count(d), 0)::DOUBLE) AS maf FROM ds GROUP BY ALL),
 gd AS (SELECT ds.* FROM ds JOIN sm USING (grp, chrom, pos0) WHERE maf >= 0.05::DOUBLE AND d IS NOT NULL),
 st AS (SELECT a.grp, a.chrom, a.pos0 AS pos_a, b.pos0 AS pos_b, count(*) AS n, sum(a.d) AS sx, sum(b.d) AS sy, sum(a.d * a.d) AS sxx, sum(b.d * b.d) AS syy, sum(a.d * b.d) AS sxy

@@ -115,7 +115,8 @@ def region_drop_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_blocks").where("Nsnp >= 40 AND start % 20 = 7").select(F.col("chr").alias("chrom"), "start", "end")
+    """Every block as a span of as many bases as it has SNPs: many short intervals, overlapping here and there."""
+    return view(spark, sf_dir, "v_blocks").select(F.col("chr").alias("chrom"), "start", (F.col("start") + F.col("Nsnp")).alias("end"))
 
 
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +188,7 @@ _TAGS = """tags AS (
     sum((a0 = 1)::INT + (a1 = 1)::INT) AS c1, sum((a0 = 2)::INT + (a1 = 2)::INT) AS c2, sum((a0 > 0)::INT + (a1 > 0)::INT) AS calt, count(*) FILTER (a1 > 0) AS carriers FROM v_gt GROUP BY site
 )"""
 _GENES = "genes AS (SELECT chr, start, \"end\" AS fin, name, gene_id FROM v_genes)"
-_BED = 'bed AS (SELECT chr AS chrom, start, "end" AS fin FROM v_blocks WHERE Nsnp >= 40 AND start % 20 = 7)'
+_BED = "bed AS (SELECT chr AS chrom, start, start + Nsnp AS fin FROM v_blocks)"
 _HIT = "EXISTS (SELECT 1 FROM v_genes g WHERE g.chr = i.chrom AND i.pos0 < g.\"end\" AND i.pos0 + length(i.ref) > g.start)"
 _WHITE = "EXISTS (SELECT 1 FROM v_info w WHERE w.site % 9 = 0 AND w.chrom = i.chrom AND i.pos0 < w.pos0 + 1 AND i.pos0 + length(i.ref) > w.pos0)"
 
