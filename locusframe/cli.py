@@ -15,7 +15,7 @@ from locusframe.functions.coords import get_reference
 from locusframe.operators import coverage, freqs, fws, harmonize, ibd, ld, qc, selection, variants, wsaf
 from locusframe.operators.intervals import annotate, interval_join
 from locusframe.plans import pipeline
-from locusframe.sources import bam, bcf, reads, text
+from locusframe.sources import bam, bcf, masks, reads, text
 
 VERSION = "0.1.0"
 Args = argparse.Namespace
@@ -78,6 +78,13 @@ def _write(df: DataFrame, path: str, samples: list[str] | None = None) -> None:
 
 
 def _bed(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """A BED file or builtin:<name>; builtin:<name>@annotation.gff for masks that are built from genes."""
+    if path and path.startswith("builtin:"):
+        name, _, gff = path.partition("@")
+        try:
+            return masks.resolve_bed(spark, name, gff or None)
+        except ValueError as e:
+            raise SystemExit(str(e)) from e
     return text.read_bed(spark, path) if path else None
 
 
@@ -220,11 +227,15 @@ def ld_decay(spark: SparkSession, a: Args) -> None:
         text.write_tsv(ld.half_decay(table), a.half_decay_output, overwrite=a.overwrite)
 
 
-@command("coverage", "depth statistics of BAM files", _flag("--bam", many=True), _flag("--bam-list"), _flag("--regions"), _flag("--chrom", many=True), number("--window", 1000), number("--min-mapq", 0), number("--min-baseq", 0), need("--output"), _flag("--windows-output"), *OVERWRITE)
+@command("coverage", "depth statistics of BAM files", _flag("--bam", many=True), _flag("--bam-list"), _flag("--engine", "auto"), _flag("--regions"), _flag("--chrom", many=True), number("--window", 1000), number("--min-mapq", 0), number("--min-baseq", 0), need("--output"), _flag("--windows-output"), *OVERWRITE)
 def coverage_depth_stats(spark: SparkSession, a: Args) -> None:
+    try:
+        bam.resolve_engine(a.engine, a.min_baseq)
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
     paths = {p.rsplit("/", 1)[-1].removesuffix(".bam"): p for p in a.bam}
     if a.bam_list:
-        for line in text.first_lines(spark, a.bam_list, 1_000_000):
+        for line in text.first_lines(spark, a.bam_list, None):
             path, _, name = line.partition("\t")
             paths[name or path.rsplit("/", 1)[-1].removesuffix(".bam")] = path
     if not paths:
@@ -301,8 +312,9 @@ def filter_pipeline(spark: SparkSession, a: Args) -> None:
     if a.emit_default_config:
         print(json.dumps(pipeline.DEFAULT, indent=2))
         return
-    config = pipeline.load_config("\n".join(text.first_lines(spark, a.config, 100_000))) if a.config else pipeline.DEFAULT
-    out, tally, reports = pipeline.run(records(spark, a.input), config, keep=_bed(spark, a.keep_bed))
+    config = pipeline.load_config("\n".join(text.first_lines(spark, a.config, None))) if a.config else pipeline.DEFAULT
+    beds = {step["name"]: _bed(spark, step["params"].pop("bed")) for step in config.get("steps", []) if step.get("enabled", True) and "bed" in step.get("params", {})}
+    out, tally, reports = pipeline.run(records(spark, a.input), config, keep=_bed(spark, a.keep_bed), beds=beds, outdir=f"{a.outdir}/steps")
     _write(out, f"{a.outdir}/records")
     text.write_tsv(variants.snp_bed(out), f"{a.outdir}/snps.bed", overwrite=True)
     text.write_tsv(spark.createDataFrame(tally), f"{a.outdir}/variant_counts.tsv", overwrite=True)

@@ -1,4 +1,4 @@
-"""Config-driven filter chains: one lazy plan over nested records, a count and a rescue figure for every step."""
+"""Config-driven filter chains: every step reads the written result of the one before it, with a count and a rescue figure."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from locusframe.operators import intervals as iv
 from locusframe.operators import qc
 from locusframe.operators import variants as v
+from locusframe.tables import materialise
 
-#: The default chain and its parameters.
+#: The default chain, the names of its steps and their parameters.
 DEFAULT = {
     "steps": [
         {"name": "hard_qc_filter"}, {"name": "singleton_counts", "report": True}, {"name": "singleton_filter_add_ads"}, {"name": "tandem_repeat_mask", "enabled": False}, {"name": "core_region_filter", "enabled": False},
@@ -20,6 +21,7 @@ DEFAULT = {
     ]
 }
 
+#: Steps that a whitelist can overrule.
 WHITELISTABLE = {"hard_qc_filter", "singleton_filter_add_ads", "tandem_repeat_mask", "core_region_filter", "paralog_mask", "locus_missingness_filter", "maf_filter"}
 
 
@@ -52,19 +54,28 @@ def load_config(text: str) -> dict:
     return json.loads(text)
 
 
-def run(records: DataFrame, config: dict | None = None, keep: DataFrame | None = None, beds: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[dict], dict[str, DataFrame]]:
+def run(records: DataFrame, config: dict | None = None, keep: DataFrame | None = None, beds: dict[str, DataFrame] | None = None, outdir: str | None = None) -> tuple[DataFrame, list[dict], dict[str, DataFrame]]:
     """Result, tally and reports.
 
     A step takes `keep` (records it must not drop) unless its params hold keep_bed: null; a BED frame comes from
-    beds by step name. Unknown steps and parameters for steps that take none are errors before anything runs."""
+    beds by step name. Unknown steps and parameters for steps that take none are errors before anything runs.
+    Every step is run once: its records are written, to outdir/NN.name or the shared folder, and counted there."""
     config = config or DEFAULT
     steps = [s for s in config.get("steps", []) if s.get("enabled", True)]
     if unknown := [s["name"] for s in steps if s["name"] not in STEPS and s["name"] not in REPORTS]:
         raise ValueError(f"unknown steps: {', '.join(unknown)}; known: {', '.join(sorted([*STEPS, *REPORTS]))}")
-    tally: list[dict] = [{"step": "input", "kind": "input", "count": records.count(), "rescued": 0}]
+    spark = records.sparkSession
+
+    def written(rows: DataFrame, number: int, name: str) -> DataFrame:
+        if outdir is None:
+            return materialise(rows, name)
+        rows.write.mode("overwrite").parquet(path := f"{outdir}/{number:02d}.{name}")
+        return spark.read.schema(rows.schema).parquet(path)
+
+    rows = written(records, 0, "input")
+    tally: list[dict] = [{"step": "input", "kind": "input", "count": rows.count(), "rescued": 0}]
     reports: dict[str, DataFrame] = {}
-    rows = records
-    for step in steps:
+    for number, step in enumerate(steps, 1):
         name, params = step["name"], dict(step.get("params", {}))
         if name in REPORTS and (step.get("report") or name not in STEPS):
             reports[name] = REPORTS[name](rows, **params)
@@ -74,7 +85,7 @@ def run(records: DataFrame, config: dict | None = None, keep: DataFrame | None =
             params["keep"] = keep
         if beds and name in beds:
             params["bed"] = beds[name]
-        rows = STEPS[name](rows, **params)
+        rows = written(STEPS[name](rows, **params), number, name)
         rescued = F.count_if("rescued") if "rescued" in rows.columns else F.lit(0)
         figures = rows.agg(F.count("*").alias("n"), rescued.alias("r")).first()
         tally.append({"step": name, "kind": "filter", "count": figures["n"], "rescued": figures["r"]})

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.plans import depth, diversity, quality, sharing, variation
+from locusframe.plans import depth, diversity, files, quality, sharing, variation
 
-_PARTS = (diversity, variation, sharing, quality, depth)
+_PARTS = (diversity, variation, sharing, quality, depth, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

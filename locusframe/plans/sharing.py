@@ -231,10 +231,11 @@ b AS (SELECT raw.*, CASE WHEN raw IS NULL THEN -1 ELSE len(list_filter(list_tran
 bs AS (SELECT bin_id, count(*) AS n_snps, avg(raw) AS mean, stddev_samp(raw) AS sd FROM b WHERE bin_id >= 0 GROUP BY bin_id HAVING count(*) >= 2 AND stddev_samp(raw) > 0),
 z AS (SELECT snp_ix, bin_id, (raw - mean) / sd AS z FROM b LEFT JOIN bs USING (bin_id))"""
 #: Upper tail of the normal distribution: a series of positive terms below 2.5 root 2, a continued fraction beyond.
-_TAIL = """e0 AS (SELECT z.*, abs(z) / sqrt(2.0::DOUBLE) AS x FROM z),
+TAIL_SQL = """e0 AS (SELECT z.*, abs(z) / sqrt(2.0::DOUBLE) AS x FROM z),
 e1 AS (SELECT *, CASE WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * x * list_reduce([1.0::DOUBLE] || range(90, -1, -1)::DOUBLE[], lambda a, n: 1 + 2 * x * x / (2 * n + 3) * a)
   ELSE exp(-x * x) / (x * sqrt(pi())) / list_reduce([1.0::DOUBLE] || range(200, 0, -1)::DOUBLE[], lambda a, k: 1 + k / (2 * x * x) / a) END AS erfc FROM e0),
-pv AS (SELECT e1.* EXCLUDE (x, erfc), CASE WHEN z >= 0 THEN erfc / 2 ELSE 1 - erfc / 2 END AS p FROM e1),
+pv AS (SELECT e1.* EXCLUDE (x, erfc), CASE WHEN z >= 0 THEN erfc / 2 ELSE 1 - erfc / 2 END AS p FROM e1)"""
+_TAIL = f"""{TAIL_SQL},
 rk AS (SELECT *, row_number() OVER (PARTITION BY p IS NOT NULL ORDER BY p) AS k, count(*) OVER (PARTITION BY p IS NOT NULL) AS m FROM pv),
 sc AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / k) OVER (PARTITION BY p IS NOT NULL ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM rk),
 fl AS (SELECT *, coalesce(p > 0 AND p <= 0.05::DOUBLE / m, false) AS significant, coalesce(q < 0.05::DOUBLE, false) AS significant_fdr FROM sc)"""

@@ -18,18 +18,42 @@ BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 
 
 def bgzf_blocks(data: bytes) -> Iterator[bytes]:
-    """Plain bytes of each member of a blocked gzip file."""
-    at = 0
-    while at < len(data):
+    """Plain bytes of each member of a blocked gzip file; a member states its size, so the rest is never copied."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        size = _member_size(view, at)
         member = zlib.decompressobj(31)
-        plain = member.decompress(data[at:])
+        plain = member.decompress(view[at : at + size] if size else view[at:])
         if not member.eof:
             raise ValueError("truncated BGZF member")
-        at = len(data) - len(member.unused_data)
+        at = at + size if size else len(view) - len(member.unused_data)
         if plain:
             yield plain
 
 
+def _member_size(data: memoryview, at: int) -> int:
+    """Size of the gzip member at `at` by its BC field, 0 if it has none."""
+    if len(data) < at + 18 or not data[at + 3] & 4:
+        return 0
+    field, stop = at + 12, at + 12 + struct.unpack_from("<H", data, at + 10)[0]
+    while field + 4 <= stop:
+        size = struct.unpack_from("<H", data, field + 2)[0]
+        if bytes(data[field : field + 2]) == b"BC":
+            return struct.unpack_from("<H", data, field + 4)[0] + 1
+        field += 4 + size
+    return 0
+
+
+def resolve_engine(name: str = "auto", min_baseq: int = 0) -> str:
+    """The depth engine that runs. There is one, which reads every base (`pysam` names the same counting); the fragment
+    counting of `mosdepth` is not here, so that name is an error rather than another result."""
+    if name in ("auto", "native", "pysam"):
+        return "native"
+    if name == "mosdepth":
+        raise ValueError("engine mosdepth cannot apply a base quality floor" if min_baseq else "engine mosdepth is not available; use auto")
+    raise ValueError(f"unknown engine: {name}")
+
+
 class BamReader:
     """Reference names and lengths, and alignments one by one."""
 

@@ -22,8 +22,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line").where(F.trim("line") != "")
 
 
-def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
-    return [r["value"] for r in spark.read.text(path).limit(n).collect()]
+def first_lines(spark: SparkSession, path: str, n: int | None = 1) -> list[str]:
+    """The first lines of a file, or all of a list or configuration that the driver needs whole."""
+    rows = spark.read.text(path)
+    return [r["value"] for r in (rows if n is None else rows.limit(n)).collect()]
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
@@ -205,7 +207,7 @@ def sample_list(text: str, spark: SparkSession | None = None) -> list[str]:
     """Names from a comma list, or one a line from a file."""
     if "," in text or spark is None or not re.search(r"[./]", text):
         return [s.strip() for s in text.split(",") if s.strip()]
-    return [s.strip() for s in first_lines(spark, text, 1_000_000) if s.strip()]
+    return [s.strip() for s in first_lines(spark, text, None) if s.strip()]
 
 
 def write_tsv(df: DataFrame, path: str, comment: str | None = None, overwrite: bool = False) -> None:

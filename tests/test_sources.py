@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.coords import CoordinateError
 from locusframe.operators import coverage
 from locusframe.plans import pipeline
-from locusframe.sources import bam, text
+from locusframe.sources import bam, masks, text
 
 VCF = """##fileformat=VCFv4.2
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty
@@ -160,3 +160,43 @@ def test_reads(spark, tmp_path):
     assert reads.alt_reads(rows, "C", include_ref=1, ref="A").count() == 2
     assert rows.select(reads.reverse_complement(F.col("seq")).alias("x")).first()["x"] == "CGT"
     assert "sample s" in reads.site_report(spark.createDataFrame([("s", 1.5)], "sample string, bq_median double"), [1, 2, 2, 30])
+
+
+def test_masks_by_name(spark, tmp_path):
+    core = masks.resolve_bed(spark, "builtin:pf3d7_core_regions")
+    assert core.count() == 34 and core.agg(F.sum(F.col("end") - F.col("start"))).first()[0] == sum(b - a for spans in masks.PF3D7_CORE.values() for a, b in spans)
+    gff = tmp_path / "genes.gff"
+    line = "c1\tx\t{}\t{}\t{}\t.\t+\t.\tID={};description={}\n"
+    gff.write_text("##gff-version 3\n" + line.format("protein_coding_gene", 11, 20, "g1", "rifin") + line.format("protein_coding_gene", 31, 40, "g2", "actin%2C alpha") + line.format("mRNA", 31, 40, "t", "rifin") + line.format("pseudogene", 51, 60, "g3", "unknown"))
+    found = masks.paralog_genes(spark, str(gff)).orderBy("start").collect()
+    assert [(r["start"], r["end"], r["name"]) for r in found] == [(10, 20, "g1|rifin"), (50, 60, "g3|unknown pseudogene")]
+    assert masks.genes_of_gff(spark, str(gff)).where("gene_id = 'g2'").first()["description"] == "actin, alpha"
+    for name in ("builtin:pf3d7_paralog_genes", "builtin:pf3d7_tandem_repeats", "builtin:x"):
+        with pytest.raises(ValueError):
+            masks.resolve_bed(spark, name)
+
+
+def test_depth_engine_names():
+    assert bam.resolve_engine() == bam.resolve_engine("pysam", 20) == "native"
+    for name in ("mosdepth", "other"):
+        with pytest.raises(ValueError):
+            bam.resolve_engine(name)
+
+
+def test_bgzf_members_with_and_without_sizes():
+    def member(plain, sized):
+        body = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = body.compress(plain) + body.flush()
+        extra = struct.pack("<HBBHH", 6, 66, 67, 2, len(packed) + 25) if sized else b""
+        return b"\x1f\x8b\x08" + (b"\x04" if sized else b"\x00") + b"\0\0\0\0\0\xff" + extra + packed + struct.pack("<II", zlib.crc32(plain), len(plain))
+
+    data = member(b"abc" * 100, True) + member(b"", True) + member(b"xyz", False) + member(b"end", True)
+    assert list(bam.bgzf_blocks(data)) == [b"abc" * 100, b"xyz", b"end"]
+    with pytest.raises((ValueError, zlib.error)):
+        list(bam.bgzf_blocks(data[:-4]))
+
+
+def test_pipeline_writes_numbered_steps(spark, vcf, tmp_path):
+    _, tally, _ = pipeline.run(text.read_vcf(spark, vcf), {"steps": [{"name": "hard_qc_filter"}, {"name": "maf_filter"}]}, outdir=str(tmp_path / "steps"))
+    assert sorted(p.name for p in (tmp_path / "steps").iterdir()) == ["00.input", "01.hard_qc_filter", "02.maf_filter"]
+    assert [t["count"] for t in tally][:2] == [2, 1] and spark.read.parquet(str(tmp_path / "steps" / "01.hard_qc_filter")).count() == 1
