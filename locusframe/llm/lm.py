@@ -17,13 +17,14 @@ from __future__ import annotations
 import io
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import LOWER, PrefixHash, map_batches, materialise, mix64, scratch, text_chunks, word_spans
@@ -57,6 +58,14 @@ def group_of(token: bytes) -> int:
     return (token[-1] * 31 + (token[-2] if len(token) > 1 else 0) * 7 + (len(token) > 6)) % GROUPS
 
 
+def _group(token: Column) -> Column:
+    """group_of in SQL."""
+    byte = lambda at: F.coalesce(F.conv(F.hex(F.substring(token, at, 1)), 16, 10).cast("int"), F.lit(0))
+    size = F.length(token)
+    before = F.when(size > 1, byte(size - 1)).otherwise(0)
+    return F.pmod(byte(size) * 31 + before * 7 + F.when(size > 6, 1).otherwise(0), F.lit(GROUPS)).cast("int")
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of slices, never 0."""
     return mix64(PrefixHash(buf).of(starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1)
@@ -183,7 +192,7 @@ def count_tokens(docs: DataFrame, keep: int = 200_000) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = list(seen)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([group_of(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["token", "group", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
             seen.clear()
             return batch
 
@@ -197,8 +206,8 @@ def count_tokens(docs: DataFrame, keep: int = 200_000) -> DataFrame:
         if seen:
             yield out()
 
-    counts = map_batches(docs.select(F.col("text").cast("binary").alias("text")), run, "token binary, group int, n long")
-    return counts.groupBy("token", "group").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select(F.col("text").cast("binary").alias("text")), run, "token binary, n long")
+    return counts.groupBy("token").agg(F.sum("n").alias("n")).select("token", _group(F.col("token")).alias("group"), "n")
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
@@ -441,18 +450,24 @@ def train(docs: DataFrame, vocab: Vocabulary, batch_tokens: int = 4096, shard_to
     return start.unflat(np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float64))
 
 
+_loaded: dict[str, tuple[Vocabulary, Model, Lookup]] = {}  # of a worker, which serves many tasks
+
+
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, least: int, model: Model, carried: dict[str, str]) -> DataFrame:
     """carried, n_tokens, n_known, base_score, score: one row a row of docs.
 
     Counts of head tokens are at hand in the workers; each other token of a text is looked up by a
     join with the counts, and its logarithms are summed by text."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab.dump(), model.flat()))  # HEAD tokens at most
-    names = [f"c{i}" for i in range(len(carried))]
+    names, key = [f"c{i}" for i in range(len(carried))], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, weights = shared.value
-        mine = Vocabulary.load(data)
-        net, look = Model.fresh(mine).unflat(weights), Lookup(mine)
+        if key not in _loaded:
+            data, weights = shared.value
+            mine = Vocabulary.load(data)
+            _loaded.clear()
+            _loaded[key] = mine, Model.fresh(mine).unflat(weights), Lookup(mine)
+        mine, net, look = _loaded[key]
         group_log, head_log = np.log10(mine.group_mass), np.append(np.log10(mine.counts + 1.0), 0)  # the last for places of -1
         for batch in batches:
             for low, high, raw, offs in text_chunks(batch.column(len(names))):

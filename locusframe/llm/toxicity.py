@@ -8,6 +8,7 @@ Thresholds for decisions are calibrated by language; scores never see language,
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -259,7 +260,7 @@ _nets: dict[str, Network] = {}
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """All columns of docs inside row, and score; null and empty texts, and those without words, score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(net.dump())  # a few MB whatever the input
-    key = str(shared.id) if hasattr(shared, "id") else str(id(shared))
+    key = uuid.uuid4().hex
     source = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

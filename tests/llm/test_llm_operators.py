@@ -85,6 +85,11 @@ def test_lm_tail_join_equals_head(spark, docs):
     assert pick(whole, least) == pick(small, high)
 
 
+def test_lm_groups_are_alike_in_sql(spark, docs):
+    rows = lm.count_tokens(docs.unionByName(docs.limit(1).withColumn("text", F.lit("ab é 漢字 longer-words x")))).collect()
+    assert len(rows) > 50 and all(r["group"] == lm.group_of(bytes(r["token"])) for r in rows)
+
+
 def test_lm_lookup_finds_all_words():
     vocab = small_vocabulary(3000, 2000)
     data = [" ".join(w.decode() for w in vocab.words[:-1]).encode() + b" nothing w99999", b"", b"w5  w6\tW7"]
