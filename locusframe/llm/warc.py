@@ -103,21 +103,23 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page:{page_id}'.encode()).digest())}"
+def record_id(page_id: int | None, payload_digest: str) -> str:
+    """Of a page and its payload: pages under one id, or none, have ids of their own; rows that are equal are one record twice."""
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page:{page_id}:{payload_digest}'.encode()).digest())}"
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = DATE) -> tuple[str, bytes]:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block, rid = http if revisit else http + payload, record_id(page_id)
+    block, sha1 = http if revisit else http + payload, digest(payload)
+    rid = record_id(page_id, sha1)
     head = {
         "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<{rid}>", "WARC-Date": date, "WARC-Target-URI": "".join((url or "").split()),
-        "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest(payload)}", "X-Payload-Length": str(len(payload)),
+        "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{sha1}", "X-Payload-Length": str(len(payload)),
     }
     if page_id is not None:
         head["X-Page-ID"] = str(page_id)
     if revisit:
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id(refers_to)}>"} | ({} if refers_to is None else {"X-Refers-To-Page-ID": str(refers_to)})
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id(refers_to, sha1)}>"} | ({} if refers_to is None else {"X-Refers-To-Page-ID": str(refers_to)})
     head["Content-Length"] = str(len(block))
     return rid, b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -151,7 +153,10 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_bundles(marked: DataFrame, bundle_bytes: int = 1 << 24, frame_bytes: int = 1 << 18, level: int = 3) -> DataFrame:
-    """Bundles of about bundle_bytes of records, one row each: bundle_id, archive, records (the index)."""
+    """Bundles of about bundle_bytes of records, one row each: bundle_id, archive, records (the index).
+
+    A revisit has the record id of the response it refers to, which follows from its page_id and the payload.
+    Repeated rows are written as often as they occur, under one record id with a place each; an empty table has no bundles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = BundleWriter(frame_bytes, level)

@@ -193,10 +193,14 @@ def test_warc_round_trip(spark):
         other = holder[key] != (-1 if i is None else i)
         want[(i, len(key), warc.digest(key), "revisit" if other else "response", holder[key] if other else None)] += 1
     assert got == want
+    held = {e["record_id"]: e["page_id"] for b in bundles.collect() for e in b["records"]}
+    assert len(held) == len(set(PAGES))
     for b in bundles.collect():
         for e in b["records"]:
             head, _, end = warc.parse_record(warc.read_record(b["archive"], e["frame"], e["offset"], e["length"]), 0)
             assert head["WARC-Record-ID"] == f"<{e['record_id']}>" and end == e["length"]
+            if head["WARC-Type"] == "revisit":
+                assert held[head["WARC-Refers-To"][1:-1]] == int(head["X-Refers-To-Page-ID"])
     assert warc.read_bundles(warc.write_bundles(warc.mark_revisits(pages.limit(0)))).count() == 0
 
 
