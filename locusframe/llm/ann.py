@@ -22,7 +22,7 @@ from locusframe.llm.common import map_batches, materialise, scratch
 from locusframe.shipping import ship
 
 TABLES = 10
-PROBES = 12
+PROBES = 16
 #: Vectors and query vectors of one block of a bucket, about.
 GROUP = 4096
 QUERIES = 2048
