@@ -417,6 +417,15 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == {d: c for d, _, c in brute_groups(rows)}
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    base, cross = prose(120, 78), minhash.cross_links
+    rows = [(i, edited(base, 1 + i % 14, 2000 + i)) for i in range(150)]
+    seen = []
+    monkeypatch.setattr(minhash, "cross_links", lambda *a: (seen.append(a[2]), cross(*a, block=16))[1])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and got == {d: c for d, _, c in brute_groups(rows)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (500, 501), (501, 500)], "a long, b long")
     labels = {r["node"]: r["label"] for r in graph.components(links).collect()}
