@@ -134,7 +134,7 @@ def compute_allele_freqs(spark: SparkSession, a: Args) -> None:
     shown = lambda df: df.withColumnRenamed("site", "snp_id").withColumn("pos_vcf", F.col("pos0") + 1) if a.with_pos_vcf else df.withColumnRenamed("site", "snp_id")
     text.write_stamped(shown(freqs.allele_freqs(calls, **options)), f"{a.output}/allele_freqs.tsv.gz", overwrite=True)
     if a.meta:
-        grouped = calls.join(F.broadcast(_meta(spark, a.meta, a.group_col).select("sample", F.col(a.group_col).alias("group"))), "sample", "left")
+        grouped = calls.join(_meta(spark, a.meta, a.group_col).select("sample", F.col(a.group_col).alias("group")), "sample", "left")
         text.write_stamped(shown(freqs.allele_freqs(grouped, group="group", **options)), f"{a.output}/group_allele_freqs.tsv.gz", overwrite=True)
 
 
@@ -220,7 +220,7 @@ def ibd_gene_pairs(spark: SparkSession, a: Args) -> None:
 def ld_decay(spark: SparkSession, a: Args) -> None:
     cells = _cells(records(spark, a.vcf)).withColumn("grp", F.lit("all"))
     if a.meta:
-        cells = cells.drop("grp").join(F.broadcast(_meta(spark, a.meta, a.group_col).select("sample", F.col(a.group_col).alias("grp"))), "sample")
+        cells = cells.drop("grp").join(_meta(spark, a.meta, a.group_col).select("sample", F.col(a.group_col).alias("grp")), "sample")
     table = ld.ld_decay(cells.select("grp", "chrom", "pos0", "sample", ld.dosage(F.col("gt"), F.col("dp"), a.min_depth, a.het).alias("d")), a.max_dist, a.bins, a.maf, a.max_snps, a.min_samples)
     text.write_tsv(table, a.output, overwrite=a.overwrite)
     if a.half_decay_output:

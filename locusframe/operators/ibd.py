@@ -57,7 +57,7 @@ def per_snp(cells: DataFrame, panel: DataFrame, n_pairs: int) -> DataFrame:
 
 def annotate_pairs(pairs: DataFrame, meta: DataFrame, group: str) -> DataFrame:
     """group1, group2 ('unknown' for samples without one) and same_group."""
-    side = lambda n: F.broadcast(meta.select(F.col("sample").alias(f"sample{n}"), F.col(group).alias(f"group{n}")))
+    side = lambda n: meta.select(F.col("sample").alias(f"sample{n}"), F.col(group).alias(f"group{n}"))
     out = pairs.join(side(1), "sample1", "left").join(side(2), "sample2", "left").na.fill("unknown", ["group1", "group2"])
     return out.withColumn("same_group", F.col("group1") == F.col("group2"))
 
@@ -168,7 +168,7 @@ def _gene_hits(blocks: DataFrame, genes: DataFrame, within: int, min_snp: int |
 
 def gene_overlap(blocks: DataFrame, genes: DataFrame, meta: DataFrame, group: str, within: int = 0, min_snp: int | None = 15, min_kb: float | None = 15.0) -> DataFrame:
     """Distinct pairs that share a gene, for every gene and unordered pair of groups."""
-    side = lambda n: F.broadcast(meta.select(F.col("sample").alias(f"sample{n}"), F.col(group).alias(f"_g{n}")))
+    side = lambda n: meta.select(F.col("sample").alias(f"sample{n}"), F.col(group).alias(f"_g{n}"))
     hits = _gene_hits(blocks, genes, within, min_snp, min_kb).select("gene", "gene_id", *PAIR).distinct().join(side(1), "sample1").join(side(2), "sample2")
     counted = hits.groupBy("gene", "gene_id", F.least("_g1", "_g2").alias("group_a"), F.greatest("_g1", "_g2").alias("group_b")).agg(F.count("*").alias("n_pairs_ibd"))
     spine = genes.select(F.col("name").alias("gene"), "gene_id", "chr", "start", "end").crossJoin(F.broadcast(group_pair_totals(blocks, meta, group)))

@@ -20,7 +20,7 @@ def pack(dosages: DataFrame) -> DataFrame:
     dosages: grp, chrom, pos0, sample, d. The arrays hold one element for every sample of the group."""
     names = dosages.select("grp", "sample").distinct().groupBy("grp").agg(F.sort_array(F.collect_set("sample")).alias("names"))
     maps = dosages.groupBy("grp", "chrom", "pos0").agg(F.map_from_entries(F.collect_list(F.struct("sample", "d"))).alias("m"))
-    return maps.join(F.broadcast(names), "grp").select("grp", "chrom", "pos0", F.transform("names", lambda s: F.try_element_at("m", s)).alias("d"))
+    return maps.join(names, "grp").select("grp", "chrom", "pos0", F.transform("names", lambda s: F.try_element_at("m", s)).alias("d"))
 
 
 def site_maf(packed: DataFrame) -> DataFrame:
@@ -85,6 +85,6 @@ def half_decay(table: DataFrame) -> DataFrame:
 def ld_decay(dosages: DataFrame, max_dist: int = 50_000, bins: int = 20, maf: float = 0.05, max_snps: int = 3000, min_samples: int = 4) -> DataFrame:
     """Decay table of every group with at least min_samples samples."""
     sizes = dosages.select("grp", "sample").distinct().groupBy("grp").count().where(F.col("count") >= min_samples).select("grp")
-    used = dosages.join(F.broadcast(sizes), "grp", "left_semi")
+    used = dosages.join(sizes, "grp", "left_semi")
     sites = thin(site_maf(pack(used)).where(F.col("maf") >= maf), max_snps)
     return decay(pairs(sites, max_dist), sizes, max_dist, bins)

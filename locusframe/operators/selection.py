@@ -54,7 +54,7 @@ def z_scores(binned: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds z_score and chi2_stat, null outside usable bins."""
     keys = [*(by or []), "bin_id"]
     z = (F.col("raw_stat") - F.col("mean")) / F.col("sd")
-    joined = binned.join(F.broadcast(bin_stats(binned, by).select(*keys, "mean", "sd")), keys, "left")
+    joined = binned.join(bin_stats(binned, by).select(*keys, "mean", "sd"), keys, "left")
     return joined.withColumn("z_score", z).withColumn("chi2_stat", F.col("z_score") * F.col("z_score")).drop("mean", "sd")
 
 

@@ -151,7 +151,7 @@ def maf_filter(records: DataFrame, maf_min: float = 0.01, maf_max: float | None
 def maf_filter_grouped(records: DataFrame, meta: DataFrame, group: str, maf_min: float = 0.01) -> DataFrame:
     """Records at positions where the minor-allele frequency reaches maf_min in any group; genotypes stay as they are."""
     cells = records.select("chrom", "pos0", "ref", "alts", F.explode("calls").alias("c")).select("chrom", "pos0", "ref", "alts", "c.sample", "c.gt")
-    known = cells.join(F.broadcast(meta.select("sample", F.col(group).alias("_g"))), "sample")
+    known = cells.join(meta.select("sample", F.col(group).alias("_g")), "sample")
     if not known.limit(1).count():
         raise ValueError("no sample of the callset has a group")
     alleles = known.select("chrom", "pos0", "ref", "alts", "_g", F.explode("gt").alias("a")).where("a IS NOT NULL")
