@@ -16,6 +16,7 @@ from locusframe.operators import coverage, freqs, fws, harmonize, ibd, ld, qc, s
 from locusframe.operators.intervals import annotate, interval_join
 from locusframe.plans import pipeline
 from locusframe.sources import bam, bcf, masks, reads, text
+from locusframe.tables import materialise
 
 VERSION = "0.1.0"
 Args = argparse.Namespace
@@ -123,7 +124,7 @@ def _blocks(spark: SparkSession, a: Args) -> DataFrame:
 @command("ibd", "sparse pair-by-SNP table", *BLOCKS, need("--snps"), _flag("--snp-format", "vcf", choices=["vcf", "bed"]), _flag("--output", "ibd_matrix"), _flag("--all-blocks", switch=True))
 def build_ibd_matrix(spark: SparkSession, a: Args) -> None:
     blocks, panel = _blocks(spark, a), text.read_panel(spark, a.snps, a.snp_format)
-    panel = panel.withColumn("snp_ix", F.monotonically_increasing_id())
+    panel = materialise(ibd.number_panel(panel), "panel")
     text.save_matrix(ibd.ibd_cells(blocks, panel, a.all_blocks, a.min_block_snp, a.min_block_kb), ibd.pair_index(blocks), panel, a.output, overwrite=True)
 
 

@@ -188,6 +188,14 @@ def gene_pairs(blocks: DataFrame, genes: DataFrame, within: int = 0, min_snp: in
     )
 
 
+def number_panel(panel: DataFrame) -> DataFrame:
+    """panel with snp_ix from 0 on in genome order, without gaps: places within a chromosome plus one offset a chromosome."""
+    place = F.row_number().over(Window.partitionBy("chrom").orderBy("pos0", "snp_id")) - 1
+    sizes = panel.groupBy("chrom").agg(F.count("*").alias("_n"))
+    first = sizes.select("chrom", (F.sum("_n").over(Window.orderBy("chrom")) - F.col("_n")).alias("_first"))  # one row a chromosome
+    return panel.withColumn("_place", place).join(first, "chrom").withColumn("snp_ix", (F.col("_place") + F.col("_first")).cast("long")).drop("_place", "_first")
+
+
 def clusters(edges: DataFrame, key: str = "gene_id") -> DataFrame:
     """key, sample, gene_cluster_id, gene_cluster_size: single linkage within each key.
 

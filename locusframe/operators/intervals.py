@@ -24,23 +24,20 @@ def interval_join(left: DataFrame, right: DataFrame, how: str = "inner", width:
     Empty intervals overlap nothing. `extra` is a further condition on both sides."""
     lc, ls, le = left_on
     rc, rs, re_ = right_on
-    marked = left.withColumn("_lid", F.monotonically_increasing_id()) if how != "inner" else left
-    a = marked.where((F.col(le) > F.col(ls)) if how == "inner" else F.lit(True)).withColumn("_bin", F.explode_outer(_bins(F.col(ls), F.col(le), width))).withColumn("_lfirst", F.floor(F.col(ls) / width))
+    if how not in ("inner", "left_semi", "left_anti"):
+        raise ValueError(f"unknown kind of interval join: {how}")
+    if how != "inner":  # only different spans meet the right side; rows follow their span
+        if extra is not None:
+            raise ValueError("a further condition needs an inner join")
+        spans = left.select(F.col(lc).alias("_lc"), F.col(ls).alias("_ls"), F.col(le).alias("_le")).distinct()
+        hit = interval_join(spans, right.select(rc, rs, re_), "inner", width, ("_lc", "_ls", "_le"), right_on).select("_lc", "_ls", "_le").distinct()
+        return left.join(hit, (F.col(lc) == F.col("_lc")) & (F.col(ls) == F.col("_ls")) & (F.col(le) == F.col("_le")), how)
+    a = left.where(F.col(le) > F.col(ls)).withColumn("_bin", F.explode(_bins(F.col(ls), F.col(le), width))).withColumn("_lfirst", F.floor(F.col(ls) / width))
     b = right.where(F.col(re_) > F.col(rs)).withColumn("_rbin", F.explode(_bins(F.col(rs), F.col(re_), width))).withColumn("_rfirst", F.floor(F.col(rs) / width))
-    on = (F.col(lc) == F.col(rc)) & (F.col("_bin") == F.col("_rbin")) & (F.col(ls) < F.col(re_)) & (F.col(le) > F.col(rs)) & (F.col(le) > F.col(ls))
+    on = (F.col(lc) == F.col(rc)) & (F.col("_bin") == F.col("_rbin")) & (F.col(ls) < F.col(re_)) & (F.col(le) > F.col(rs))
     if extra is not None:
         on = on & extra
-    if how == "inner":
-        return a.join(b, on & (F.col("_bin") == F.greatest("_lfirst", "_rfirst"))).drop("_bin", "_rbin", "_lfirst", "_rfirst")
-    if how not in ("left_semi", "left_anti"):
-        raise ValueError(f"unknown kind of interval join: {how}")
-    hit = a.join(b, on, "left_semi")
-    if how == "left_semi":  # a row is kept by its first bin that has a partner
-        return hit.dropDuplicates(["_lid"]).drop("_bin", "_lfirst", "_lid")
-    alive = a.join(b, on, "left_anti")
-    bins = F.size(_bins(F.col(ls), F.col(le), width))
-    whole = alive.groupBy("_lid").agg(F.count("*").alias("_n"), F.first(bins).alias("_all"), *[F.first(c).alias(c) for c in left.columns])
-    return whole.where("_n = _all").select(*left.columns)
+    return a.join(b, on & (F.col("_bin") == F.greatest("_lfirst", "_rfirst"))).drop("_bin", "_rbin", "_lfirst", "_rfirst")
 
 
 def merge_intervals(df: DataFrame, gap: int = 0) -> DataFrame:
@@ -82,13 +79,13 @@ def region_filter(records: DataFrame, bed: DataFrame, exclude: bool = False, kee
 
     A record that meets several intervals is kept once. Adds `rescued`: kept by `keep` alone."""
     side = lambda b, n: b.select(F.col("chrom").alias(f"_{n}c"), F.col("start").alias(f"_{n}s"), F.col("end").alias(f"_{n}e"))
-    spans = record_span(records).withColumn("_rec", F.monotonically_increasing_id())
+    spans = record_span(records)
     on = lambda n: {"left_on": ("chrom", "start", "end"), "right_on": (f"_{n}c", f"_{n}s", f"_{n}e")}
     passing = interval_join(spans, side(bed, "b"), "left_anti" if exclude else "left_semi", **on("b")).withColumn("rescued", F.lit(False))
     if keep is not None:
         failing = interval_join(spans, side(bed, "b"), "left_semi" if exclude else "left_anti", **on("b"))
         passing = passing.unionByName(interval_join(failing, side(keep, "k"), "left_semi", **on("k")).withColumn("rescued", F.lit(True)))
-    return passing.drop("_rec", "start", "end")
+    return passing.drop("start", "end")
 
 
 def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos0") -> DataFrame:

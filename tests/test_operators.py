@@ -307,3 +307,9 @@ def test_harmonize_union_and_duplicates(spark):
     out = {(r["cohort"], r["pos0"]): r for r in harmonize.rewrite(df, harmonize.allele_union(df)).collect()}
     assert set(out) == {("a", 1), ("b", 1), ("a", 9)}
     assert out["a", 1]["calls"][0]["ad"] == [10, 0, 10] and out["a", 1]["calls"][0]["gt"] == [0, 2] and out["b", 1]["calls"][0]["gt"] == [0, 1]
+
+
+def test_panel_numbers_have_no_gaps(spark):
+    rows = [(f"{c}:{p}", c, p) for c, n in (("b", 5), ("a", 3), ("c", 1)) for p in range(10 * n, 0, -10)]
+    out = ibd.number_panel(spark.createDataFrame(rows, "snp_id string, chrom string, pos0 long").repartition(5)).collect()
+    assert [r["snp_id"] for r in sorted(out, key=lambda r: r["snp_ix"])] == [r[0] for r in sorted(rows, key=lambda r: r[1:])] and {r["snp_ix"] for r in out} == set(range(9))
