@@ -82,9 +82,10 @@ def half_decay(table: DataFrame) -> DataFrame:
     return table.select("grp").distinct().join(hit, "grp", "left")
 
 
-def ld_decay(dosages: DataFrame, max_dist: int = 50_000, bins: int = 20, maf: float = 0.05, max_snps: int = 3000, min_samples: int = 4) -> DataFrame:
-    """Decay table of every group with at least min_samples samples."""
+def ld_decay(dosages: DataFrame, max_dist: int = 50_000, bins: int = 20, maf: float = 0.05, max_snps: int | None = 3000, min_samples: int = 4) -> DataFrame:
+    """Decay table of every group with at least min_samples samples; max_snps None takes all sites of a chromosome."""
     sizes = dosages.select("grp", "sample").distinct().groupBy("grp").count().where(F.col("count") >= min_samples).select("grp")
     used = dosages.join(sizes, "grp", "left_semi")
-    sites = thin(site_maf(pack(used)).where(F.col("maf") >= maf), max_snps)
+    sites = site_maf(pack(used)).where(F.col("maf") >= maf)
+    sites = sites if max_snps is None else thin(sites, max_snps)
     return decay(pairs(sites, max_dist), sizes, max_dist, bins)
