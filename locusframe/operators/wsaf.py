@@ -23,16 +23,18 @@ def site_fractions(cells: DataFrame, min_depth: int = 10, min_minor: float = MIN
     """Covered cells: site, sample, minor_frac, alt_frac, plaf, het, wsmaf.
 
     minor_frac is the share of the second best allele; plaf the mean ALT share of a site's covered
-    samples; wsmaf the ALT share, or one minus it where plaf is above one half."""
+    samples, summed in decimals, so that it is the same in whatever order they come; wsmaf the ALT share, or one minus it where plaf is above one half."""
     ad = F.transform("ad", lambda d: F.greatest(F.coalesce(d, F.lit(0)), F.lit(0)))
     depth = F.aggregate("_ad", F.lit(0).cast("long"), lambda s, d: s + d)
     out = cells.where(F.size("ad") >= 2).withColumn("_ad", ad).withColumn("_depth", depth).where(F.col("_depth") >= min_depth)
     second = F.get(F.sort_array("_ad", asc=False), 1)
-    by_site = Window.partitionBy("site")
+    alt = F.col("_depth") - F.get("_ad", 0)
+    exact = alt.cast("decimal(18,0)") / F.col("_depth").cast("decimal(18,0)")
+    plaf = F.round(F.avg(exact).over(Window.partitionBy("site")), 17).cast("double")
     return (
         out.withColumn("minor_frac", second.cast("double") / F.col("_depth"))
-        .withColumn("alt_frac", (F.col("_depth") - F.get("_ad", 0)).cast("double") / F.col("_depth"))
-        .withColumn("plaf", F.avg("alt_frac").over(by_site))
+        .withColumn("alt_frac", alt.cast("double") / F.col("_depth"))
+        .withColumn("plaf", plaf)
         .withColumn("het", (F.col("minor_frac") >= min_minor) & (second >= min_minor_reads))
         .withColumn("wsmaf", F.when(F.col("plaf") <= 0.5, F.col("alt_frac")).otherwise(1 - F.col("alt_frac")))
         .select("site", "sample", "minor_frac", "alt_frac", "plaf", "het", "wsmaf")

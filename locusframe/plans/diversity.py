@@ -29,7 +29,8 @@ def depth_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    """As the other engine rounds: the product with the power of ten, not the shortest decimal, goes to the nearest."""
+    return df.withColumns({c: F.round(F.col(c) * 10.0**places) / 10.0**places for c in columns})
 
 
 def fws_site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

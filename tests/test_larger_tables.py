@@ -1,9 +1,12 @@
 """Queries against their SQL on tables that the smallest driver tables have no case of."""
 
+import itertools
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from locusframe.operators import wsaf
 from locusframe.plans import registry
 
 
@@ -28,3 +31,18 @@ def test_decay_takes_every_site(spark, tmp_path):
     rows = [line(14 * k, s, 40, "NR"[(k * (s + 5) // 7 + s) % 2]) for k in range(1, 3300) for s in (0, 3, 6, 9, 12)]
     for name in ("ld_decay", "ld_half_decay"):
         check(spark, tmp_path, name, lineitem=rows)
+
+
+def test_fractions_on_a_half_round_like_the_sql(spark, tmp_path):
+    """666 of 1280 is 0.5203125, but its product with 10^6 falls below the half."""
+    found = check(spark, tmp_path, "wsaf_sites", lineitem=[line(2, 0, 614, "N"), line(2, 0, 666, "R")])
+    assert len(found) == 1 and "0.520312" in found[0]
+
+
+def test_mean_share_does_not_hang_on_the_order_of_samples(spark):
+    """The shares add up to 2.875, in floating point to that or a little less."""
+    shares = [(13, 35), (14, 28), (0, 11), (25, 23)]
+    for order in itertools.permutations(shares):
+        rows = [(1, f"s{i}", list(ad)) for i, ad in enumerate([*order, *[(20, 0)] * 12])]
+        cells = spark.createDataFrame(rows, "site int, sample string, ad array<int>").coalesce(1)
+        assert {r["plaf"] for r in wsaf.site_fractions(cells).collect()} == {0.1796875}
