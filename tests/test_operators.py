@@ -313,3 +313,12 @@ def test_panel_numbers_have_no_gaps(spark):
     rows = [(f"{c}:{p}", c, p) for c, n in (("b", 5), ("a", 3), ("c", 1)) for p in range(10 * n, 0, -10)]
     out = ibd.number_panel(spark.createDataFrame(rows, "snp_id string, chrom string, pos0 long").repartition(5)).collect()
     assert [r["snp_id"] for r in sorted(out, key=lambda r: r["snp_ix"])] == [r[0] for r in sorted(rows, key=lambda r: r[1:])] and {r["snp_ix"] for r in out} == set(range(9))
+
+
+def test_gene_sharing_does_not_grow_with_blocks(spark):
+    blocks = [("a", "b", "1", s, s + 300, 0, 50) for s in range(0, 3000, 10)] + [("b", "a", "chr1", 5000, 5100, 0, 50), ("c", "d", "1", 5101, 5200, 0, 50)]
+    blocks = spark.createDataFrame(blocks, "sample1 string, sample2 string, chr string, start long, end long, different int, Nsnp long")
+    genes = spark.createDataFrame([("g", "i", "1", 1000, 2000), ("h", "j", "1", 4900, 5000), ("k", "l", "1", 5100, 5101)], "name string, gene_id string, chr string, start long, end long")
+    shared = lambda within: sorted((r["gene_id"], r["sample1"], r["sample2"]) for r in ibd.gene_sharers(blocks, genes, within, 0, 0).collect())
+    assert shared(0) == [("i", "a", "b")]
+    assert shared(1) == [("i", "a", "b"), ("j", "a", "b"), ("l", "a", "b"), ("l", "c", "d")]
