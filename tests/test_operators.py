@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,21 @@ def test_gene_sharing_does_not_grow_with_blocks(spark):
     shared = lambda within: sorted((r["gene_id"], r["sample1"], r["sample2"]) for r in ibd.gene_sharers(blocks, genes, within, 0, 0).collect())
     assert shared(0) == [("i", "a", "b")]
     assert shared(1) == [("i", "a", "b"), ("j", "a", "b"), ("l", "a", "b"), ("l", "c", "d")]
+
+
+def test_clusters_hand_on_samples_instead_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(k), f"s{a}", f"s{b}") for k, a, b in zip(rng.integers(0, 9, 4000), rng.integers(0, 40, 4000) % 37, rng.integers(0, 40, 4000) % 37) if a % 3 == b % 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*edges)], ["key", "node", "label"])
+    short = [tuple(r.values()) for b in ibd._forest(False)(iter([batch, batch])) for r in b.to_pylist()]
+    assert len(short) == len({(k, x) for k, *ends in edges for x in ends}) < len(edges) / 2
+    want = {}
+    for k, x, label in short:
+        want.setdefault((k, label), set()).add(x)
+    for k, a, b in edges:
+        assert sum(k == key and a in found and b in found for (key, _), found in want.items()) == 1
+    df = spark.createDataFrame(edges, "gene_id long, sample1 string, sample2 string").repartition(7)
+    got = {}
+    for r in ibd.clusters(df).collect():
+        got.setdefault((r["gene_id"], r["gene_cluster_id"], r["gene_cluster_size"]), set()).add(r["sample"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and all(n == len(found) for (_, _, n), found in got.items())
