@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import map_batches, text_chunks
+from locusframe.llm.common import held, map_batches, text_chunks
 
 # Symbols of the automaton.
 LETTER, DIGIT, OTHER, QUOTE1, QUOTE2, BLANK, JOIN, CUT, RESET = range(9)
@@ -264,14 +264,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-_mergers: dict[str, Merger] = {}
-
-
 def _merger(key: str, data: bytes) -> Merger:
-    if key not in _mergers:
-        _mergers.clear()
-        _mergers[key] = Merger(parse_ranks(data))
-    return _mergers[key]
+    return held(key, lambda: Merger(parse_ranks(data)))
 
 
 def encode_batch(texts: pa.Array, merger: Merger) -> Iterator[bytes]:
@@ -312,7 +306,7 @@ def encode(docs: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)
 
     source = docs.select(*keep, "text")
     kinds = ", ".join(f"`{name}` {source.schema[name].dataType.simpleString()}" for name in keep)
-    return map_batches(source, run, f"{kinds}, n_tokens long, ids array<int>")
+    return map_batches(source, run, f"{kinds}, n_tokens long, ids array<int>", key)
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -332,4 +326,4 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(merger.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select("doc_id", F.col("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", F.col("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,12 +34,45 @@ BATCH_ROWS = 1024
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
+#: What this worker keeps for the next task of the same operator: one object, by its key.
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget_but(key: str | None) -> None:
+    if key not in _held:
+        _held.clear()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: workers live on, and would add what each stage once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with this package at hand in the workers. keeps: the key of what run takes from held()."""
     ship(df.sparkSession)
     if not 0 < int(df.sparkSession.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
         df.sparkSession.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_but(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

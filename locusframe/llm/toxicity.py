@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import LOWER, PrefixHash, map_batches, mix64, text_chunks, word_spans
+from locusframe.llm.common import LOWER, PrefixHash, held, map_batches, mix64, text_chunks, word_spans
 
 SIZE = 1 << 16
 WIDTHS = (1, 2, 3)
@@ -254,9 +254,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     return Network.load(bytes(found["weights"])) if found else _fit_sample([], np.zeros(0), np.zeros(0, object), prior, holdout, epochs, seed)
 
 
-_nets: dict[str, Network] = {}
-
-
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """All columns of docs inside row, and score; null and empty texts, and those without words, score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(net.dump())  # a few MB whatever the input
@@ -264,16 +261,13 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     source = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _nets:
-            _nets.clear()
-            _nets[key] = Network.load(shared.value)
-        mine = _nets[key]
+        mine = held(key, lambda: Network.load(shared.value))
         for batch in batches:
             found = [mine.scores(*features(buf, offs)) for _, _, buf, offs in text_chunks(batch.column(1), 1 << 18)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["row", "score"])
 
     row = source.schema["row"].dataType.simpleString()
-    return map_batches(source, run, f"row {row}, score double")
+    return map_batches(source, run, f"row {row}, score double", key)
 
 
 def rejected(lang: Column, value: Column, net: Network, default: float = 0.3) -> Column:
