@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from locusframe.operators import wsaf
+from locusframe.operators import intervals, wsaf
 from locusframe.plans import registry
 
 
@@ -46,3 +46,18 @@ def test_mean_share_does_not_hang_on_the_order_of_samples(spark):
         rows = [(1, f"s{i}", list(ad)) for i, ad in enumerate([*order, *[(20, 0)] * 12])]
         cells = spark.createDataFrame(rows, "site int, sample string, ad array<int>").coalesce(1)
         assert {r["plaf"] for r in wsaf.site_fractions(cells).collect()} == {0.1796875}
+
+
+def test_gene_shares_on_a_half_round_like_the_sql(spark, tmp_path):
+    """1562.5 millionths of a percent a base: genes of 64 kb have halves at every odd number of bases, of which a tenth or so rounded otherwise."""
+    genes = [{"p_partkey": 14 * k, "p_brand": "b", "p_size": 64} for k in range(1, 400)]
+    found = check(spark, tmp_path, "gene_pairs", part=genes, lineitem=[line(14 * k + 1, 2 * k, 20 + k % 30, order=14 * k) for k in range(1, 200)])
+    assert len(found) > 100 and any("'partial'" in r for r in found)
+
+
+def test_intervals_left_of_zero_and_on_borders_of_bins_meet_once(spark):
+    spans = [(s, e) for s in range(-33, 34, 3) for e in range(s + 1, s + 40, 4)]
+    left = spark.createDataFrame([("1", *x) for x in spans], "chrom string, start int, end int")
+    right = spark.createDataFrame([("1", *x) for x in spans], "c string, s long, e long")
+    found = [tuple(r) for r in intervals.interval_join(left, right, width=16, right_on=("c", "s", "e")).select("start", "end", "s", "e").collect()]
+    assert sorted(found) == sorted((*x, *y) for x in spans for y in spans if x[0] < y[1] and y[0] < x[1])
