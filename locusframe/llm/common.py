@@ -139,13 +139,15 @@ _POWERS = [Powers(0x5851F42D4C957F2D), Powers(0x2545F4914F6CDD1D)]
 class PrefixHash:
     """Prefix sums of a polynomial in random byte values: the hash of any slice takes two look-ups.
 
-    kind 0 and kind 1 have bases and byte values of their own; together they are 128 bits."""
+    kind 0 and kind 1 have bases and byte values of their own; together they are 128 bits. Values of
+    64 bits (hashes of words) are taken as they stand."""
 
     def __init__(self, buf: np.ndarray, kind: int = 0) -> None:
         self.powers = _POWERS[kind]
         self.powers.reach(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLES[kind][buf] * self.powers.up[: len(buf)], out=self.sums[1:])
+        values = buf if buf.dtype == np.uint64 else _TABLES[kind][buf]
+        np.cumsum(values * self.powers.up[: len(buf)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.powers.down[start]

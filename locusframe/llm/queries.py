@@ -27,8 +27,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = suffix.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = suffix.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=51)
+    return left.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_words")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

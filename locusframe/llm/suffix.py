@@ -21,10 +21,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import LOWER, SPACE, Bloom, PrefixHash, map_batches, materialise, mix64, scratch, text_chunks
+from locusframe.llm.common import LOWER, SPACE, Bloom, PrefixHash, map_batches, materialise, mix64, scratch, text_chunks, word_spans
 
 SIZE = 400
 BLOCK = 32
@@ -49,12 +49,15 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(buf: np.ndarray, offs: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, ...]:
     """Text index, anchor hash, two extent hashes, anchor, first and last start of its strings, for texts back to back."""
+    return _anchors_of(PrefixHash(buf), PrefixHash(buf, 1), offs, size)
+
+
+def _anchors_of(hashes: PrefixHash, second: PrefixHash, offs: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     gram = max(1, size * 8 // 25)  # shorter ones give fewer anchors, longer ones rarer anchors
-    none = (np.zeros(0, np.int64),) * 7
-    if len(buf) < size:
+    none, n = (np.zeros(0, np.int64),) * 7, len(hashes.sums) - 1
+    if n < size:
         return none
-    hashes = PrefixHash(buf)
-    at = np.arange(len(buf) - gram + 1)
+    at = np.arange(n - gram + 1)
     h = mix64(hashes.of(at, at + gram))
     low = _sliding_least((h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), size - gram + 1)
     least = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # the leftmost place of the least hash
@@ -66,7 +69,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, size: int = SIZE) -> tuple[np.nda
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
     lo, hi, anchor, text = start[new], start[np.append(new[1:], len(start)) - 1], least[new], text[new]
     shape = (hi - lo).astype(np.uint64) * _C + (anchor - lo).astype(np.uint64)
-    extents = [mix64(mix64(x.of(lo, hi + size)) + shape).view(np.int64) for x in (hashes, PrefixHash(buf, 1))]
+    extents = [mix64(mix64(x.of(lo, hi + size)) + shape).view(np.int64) for x in (hashes, second)]
     base = offs[text]
     return text, h[anchor].view(np.int64), *extents, anchor - base, lo - base, hi - base
 
@@ -299,7 +302,7 @@ def _settled(pieces: DataFrame, block: int, size: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, size: int = SIZE, fold: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Spans (t1, t2, start, end) of repeated bytes, not yet merged; and the texts that occur in copies.
+    """Spans (t1, t2, start, end) of repeated bytes, not yet merged; and the different texts with rep and copies.
 
     A text of size bytes or more that occurs in copies is repeated as a whole and needs no spans."""
     classes = materialise(texts.groupBy("t1", "t2").agg(F.min("row.doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
@@ -314,7 +317,86 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, fold: bool = False) -> tu
         pieces = materialise(_cut_pieces(texts, places, bloom, size, fold), "pieces")
         spans = block.keep(whole.union(_settled(pieces, BLOCK, size)), "spans")
         bloom.drop()
-    return spans, classes.where("copies > 1")
+    return spans, classes
+
+
+def _word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[PrefixHash, PrefixHash, np.ndarray]:
+    """The two prefix hashes over the words of texts back to back, A-Z as a-z, and the first word of each text."""
+    starts, ends, first = word_spans(buf, offs)
+    low = LOWER[buf]
+    return *(PrefixHash(mix64(PrefixHash(low, k).of(starts, ends)), k) for k in (0, 1)), first
+
+
+def _find_word_anchors(texts: DataFrame, words: int) -> DataFrame:
+    """Anchors as those of bytes, over words; places count words."""
+    names = ["t1", "t2", "akey", "ext", "ext2", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t1, t2 = np.array(batch.column(1)), np.array(batch.column(2))
+            for low, _, buf, offs in text_chunks(batch.column(0)):
+                text, akey, ext, ext2, _, lo, hi = _anchors_of(*_word_hashes(buf, offs), words)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[text + low], t2[text + low], akey, ext, ext2, lo, hi)], names)
+
+    return map_batches(texts.where(F.length("data") >= 2 * words - 1).select("data", "t1", "t2"), run, ", ".join(f"{n} long" for n in names))
+
+
+def _hash_windows(texts: DataFrame, places: DataFrame, bloom: Bloom, words: int) -> DataFrame:
+    """Two hashes of every run of `words` words at the given places, with the text, the first word and the place's `cross`."""
+    lists = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", "cross")).alias("places"))
+    source = texts.where(bloom.may_have("t1")).select("t1", "t2", F.col("row.doc_id").alias("doc_id"), "data")
+    joined = source.join(lists.join(places.select("t1", "t2", "rep").distinct(), ["t1", "t2"]).withColumnsRenamed({"t1": "u1", "t2": "u2"}), (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    names = ["w1", "w2", "t1", "t2", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t1, t2, lists = np.array(batch.column(1)), np.array(batch.column(2)), batch.column(3)
+            bound, flat = np.array(lists.offsets), lists.values
+            lo, hi = (np.array(flat.field(k)) for k in (0, 1))
+            cross = flat.field(2).to_numpy(zero_copy_only=False)
+            for low, high, buf, offs in text_chunks(batch.column(0)):
+                one, two, first = _word_hashes(buf, offs)
+                mine = np.arange(bound[low], bound[high])
+                text = np.repeat(np.arange(high - low), np.diff(bound[low : high + 1]))
+                count = hi[mine] - lo[mine] + 1
+                owner = np.repeat(np.arange(len(mine)), count)
+                start = lo[mine][owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = first[text[owner]] + start
+                columns = [mix64(x.of(at, at + words)).view(np.int64) for x in (one, two)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, t1[low + text[owner]], t2[low + text[owner]], start, cross[mine][owner])], [*names, "cross"])
+
+    return map_batches(joined.select("data", "t1", "t2", "places"), run, ", ".join(f"{n} long" for n in names) + ", cross boolean")
+
+
+def shared_passages(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """t1, t2, n_passages, passage_words: the runs of words that other, different texts have as well.
+
+    A run is made of strings of `words` words (A-Z as a-z, white space apart) that also stand in a text
+    of other bytes; texts without one have no row. Strings meet by their anchors as those of bytes do:
+    extents of two texts are shared as a whole, others under one anchor string by string (128-bit hashes)."""
+    with scratch(texts.sparkSession) as block:
+        found = materialise(_find_word_anchors(texts, words), "word_anchors")
+        several = F.min("t1") != F.max("t1")
+        keys = found.groupBy("akey").agg(several.alias("met")).where("met").select("akey")
+        met = materialise(found.join(keys, "akey").distinct(), "met")
+        same, place = ["akey", "ext", "ext2"], ["t1", "t2", "lo", "hi"]
+        extents = materialise(met.groupBy(*same).agg(several.alias("cross"), *[F.first(c).alias(c) for c in place]), "word_extents")
+        ends = [F.col("lo").alias("start"), (F.col("hi") + words).alias("end")]
+        whole = met.join(extents.where("cross").select(*same), same).select("t1", "t2", *ends)
+        contested = extents.groupBy("akey").agg(F.count("*").alias("m"), F.bool_and("cross").alias("done")).where("m > 1 AND NOT done").select("akey")
+        known = extents.where("cross").join(contested, "akey").select(*place, "cross")
+        rest = met.join(extents.where("NOT cross").select(*same, "cross"), same).join(contested, "akey").select(*place, "cross")
+        places = materialise(known.union(rest).join(classes.select("t1", "t2", "rep"), ["t1", "t2"]), "word_places")
+        bloom = Bloom(places.select("t1").distinct(), "t1")
+        windows = materialise(_hash_windows(texts, places, bloom, words), "windows")
+        again = windows.groupBy("w1", "w2").agg((F.bool_or("cross") | several).alias("met")).where("met").select("w1", "w2")
+        strings = windows.where("NOT cross").join(again, ["w1", "w2"]).select("t1", "t2", "start", (F.col("start") + words).alias("end"))
+        before = Window.partitionBy("t1", "t2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        runs = whole.union(strings).withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(-1)))
+        covered = F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))
+        out = block.keep(runs.groupBy("t1", "t2").agg(F.count_if(F.col("start") > F.col("seen")).alias("n_passages"), F.sum(covered).alias("passage_words")), "passages")
+        bloom.drop()
+    return out
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,7 +437,7 @@ def _whole_words(data: bytes, spans: list[tuple[int, int]], words: int) -> list[
     return [(a, b) for a, b in cut if len(data[a:b].split()) >= words]
 
 
-def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False, fold: bool = False, words: int = 0) -> DataFrame:
+def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False, fold: bool = False, words: int = 0, passages: int = 0) -> DataFrame:
     """row, n_bytes, n_removed, n_spans, kept (bytes): what is left of each text without its repeated strings.
 
     A byte goes if a string of size bytes that covers it also starts anywhere else, in the same text
@@ -366,27 +448,35 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False, f
     """
     with scratch(docs.sparkSession) as block:
         texts = keyed(docs)
-        spans, copies = repeated_spans(texts, size, fold)
+        spans, classes = repeated_spans(texts, size, fold)
+        copies = classes.where("copies > 1")
         lists = (
             spans.union(copies.select("t1", "t2", F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))
             .distinct()
             .groupBy(F.col("t1").alias("u1"), F.col("t2").alias("u2"))
             .agg(F.when(F.min("start") < 0, F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))).otherwise(F.collect_list(F.struct("start", "end"))).alias("spans"))
         )
+        if passages:
+            shared = shared_passages(texts, classes, passages).withColumnsRenamed({"t1": "u1", "t2": "u2"})
+            lists = lists.join(shared, ["u1", "u2"], "full")
         lists = block.keep(lists, "lists")
+    extra = ["n_passages", "passage_words"] if passages else []
     bloom = Bloom(lists.select("u1"), "u1")
     marked = texts.withColumn("hit", bloom.may_have("t1"))
-    touched = marked.where("hit").join(lists, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left").select("row", "data", "spans")
+    touched = marked.where("hit").join(lists, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left").select("row", "data", "spans", *extra)
     row = texts.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, count, kept = [], [], [], []
-            for value, found in zip(batch.column(1), batch.column(2), strict=True):
+            shared = [[v or 0 for v in batch.column(k).to_pylist()] for k in range(3, 3 + len(extra))]
+            for i, (value, found) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 data, found = value.as_py(), found.as_py() or []
                 merged = merge_spans([(s["start"], s["end"]) for s in found])
-                if merged and merged[0][0] < 0:
+                if merged and merged[0][0] < 0:  # a text in copies
                     merged = [(0, len(data))] if len(data) >= size else []
+                    if passages and (n := len(data.split())) >= passages:
+                        shared[0][i], shared[1][i] = 1, n
                 if words:
                     merged = _whole_words(data, merged, words)
                 if characters:
@@ -400,9 +490,9 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, characters: bool = False, f
                 gone.append(sum(b - a for a, b in merged))
                 count.append(len(merged))
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in shared)], ["row", "n_bytes", "n_removed", "n_spans", "kept", *extra])
 
-    cut = map_batches(touched, run, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = map_batches(touched, run, ", ".join([f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary", *(f"{c} long" for c in extra)]))
     zero = F.lit(0).cast("long")
-    rest = marked.where("NOT hit").select("row", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"))
+    rest = marked.where("NOT hit").select("row", F.length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"), *(zero.alias(c) for c in extra))
     return cut.unionByName(rest)

@@ -301,6 +301,35 @@ def test_suffix_fold_and_whole_words(spark):
     assert [out[i]["n_removed"] for i in (2, 3, 4)] == [0, 0, 0]
 
 
+def shared_passages(texts, size):
+    rows = [(t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split() for t in texts]
+    holders = {}
+    for d, t in enumerate(rows):
+        for i in range(len(t) - size + 1):
+            holders.setdefault(tuple(t[i : i + size]), set()).add(d)
+    out = []
+    for t in rows:
+        flag = [False] * len(t)
+        for i in range(len(t) - size + 1):
+            if len(holders[tuple(t[i : i + size])]) > 1:
+                flag[i : i + size] = [True] * size
+        out.append((sum(f and (i == 0 or not flag[i - 1]) for i, f in enumerate(flag)), sum(flag)))
+    return out
+
+
+def test_suffix_passages_against_brute_force(spark):
+    passage, line = prose(51, 310), " ".join([prose(9, 311)] * 12)
+    shout = passage.upper().replace("É", "é").replace(" ", "\n\t")
+    texts = [d[1] for d in corpus()] + [f"{prose(30, 312)} {passage} {prose(20, 313)}", f"{prose(25, 314)} {shout} {prose(31, 315)}", f"{passage} {passage}", " ".join(passage.split()[1:]), f"{line} {prose(9, 316)} {line}", f"{prose(5, 317)} {line} {prose(5, 318)}"]
+    texts += [f"{prose(300, 320)} {prose(60 + i, 321)} {prose(2 * i, 330 + i)}" for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r["row"]["doc_id"]: r for r in suffix.strip_repeats(df, passages=51).collect()}
+    assert [(rows[i]["n_passages"], rows[i]["passage_words"]) for i in range(len(texts))] == shared_passages(texts, 51)
+    short = len(corpus())  # 51 words of less than 400 bytes: no byte goes, but the passage is told
+    assert [(rows[short + i]["n_removed"], rows[short + i]["n_passages"], rows[short + i]["passage_words"]) for i in (0, 1, 3)] == [(0, 1, 51), (0, 1, 51), (0, 0, 0)]
+    assert suffix.strip_repeats(df.limit(0), passages=51).count() == 0
+
+
 def test_suffix_sort_orders_and_finds_repeats():
     rng = np.random.default_rng(5)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
