@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from locusframe.operators import intervals, wsaf
+from locusframe.operators import ibd, intervals, wsaf
 from locusframe.plans import registry
 
 
@@ -55,6 +55,20 @@ def test_gene_shares_on_a_half_round_like_the_sql(spark, tmp_path):
     assert len(found) > 100 and any("'partial'" in r for r in found)
 
 
+def test_gene_pairs_of_a_block_come_in_order_of_genes(spark):
+    """Files of them are smaller so; a plan that deals both sides must keep the order in which tasks send them."""
+    genes = spark.createDataFrame([("g", k, "1", k * 7919 % 60_000, k * 7919 % 60_000 + 900 + k) for k in range(300)], "name string, gene_id long, chr string, start long, end long").coalesce(1)
+    blocks = spark.createDataFrame([("a", "b", "1", k * 613 % 40_000, k * 613 % 40_000 + 20_000, 0, 50) for k in range(100)], "sample1 string, sample2 string, chr string, start long, end long, different int, Nsnp long").coalesce(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = [(r["block_start"], r["gene_start"]) for r in ibd.gene_pairs(blocks, genes, within=200).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == sum(b < g + 900 + k + 200 and b + 20_000 > g - 200 for b in (k * 613 % 40_000 for k in range(100)) for k, g in ((k, k * 7919 % 60_000) for k in range(300)))
+    assert found == sorted(found)
+
+
 def test_intervals_left_of_zero_and_on_borders_of_bins_meet_once(spark):
     spans = [(s, e) for s in range(-33, 34, 3) for e in range(s + 1, s + 40, 4)]
     left = spark.createDataFrame([("1", *x) for x in spans], "chrom string, start int, end int")
